@@ -33,5 +33,29 @@ FROM j LEFT JOIN k ON j.source IS NOT DISTINCT FROM k.source
 """
 
 
+OP4 = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+  SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, h,
+         translate(array_to_string(list_transform(range(8), lambda i: lpad(to_base(('0x' || substr(h, (5 * i + 1)::INT, 5))::BIGINT, 32), 4, '0')), ''), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = min(page_id) OVER (PARTITION BY h) THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = min(page_id) OVER (PARTITION BY h) THEN NULL ELSE min(page_id) OVER (PARTITION BY h) END AS refers_to
+FROM d
+"""
+
+OP8 = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)), true)),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_pareto_mix": OP7}
+    return {"op4_warc_bundles": OP4, "op7_pareto_mix": OP7, "op8_kdtree_topk": OP8}

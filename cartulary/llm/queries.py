@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import drr_pack, pareto_mix, ppm_langid, simhash_bk
+from . import drr_pack, hyper_shuffle, kdtree_topk, pareto_mix, permutation_ann, ppm_langid, simhash_bk, warc_zstd
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,10 +34,26 @@ def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zstd.archive(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_ann.search(_read(spark, sf_dir, "embeddings"))
+
+
+def op8_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree_topk.search(_read(spark, sf_dir, "embeddings"))
+
+
+def op9_hypergeometric_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyper_shuffle.shuffle(_read(spark, sf_dir, "documents"))
+
+
 def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drr_pack.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op3_language_id, op6_simhash_dedup, op7_pareto_mix, op10_mixture_packing]
+    named = [op3_language_id, op4_warc_bundles, op5_permutation_ann, op6_simhash_dedup, op7_pareto_mix, op8_kdtree_topk, op9_hypergeometric_shuffle, op10_mixture_packing]
     return {f.__name__: f for f in named}
