@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import drr_pack, hyper_shuffle, kdtree_topk, pareto_mix, permutation_ann, ppm_langid, simhash_bk, warc_zstd
+from . import drr_pack, html_extract, hyper_shuffle, kdtree_topk, pareto_mix, permutation_ann, ppm_langid, simhash_bk, url_templates, warc_zstd
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +20,20 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: The rules of the url query: (verdict, host and path prefix).
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled bad where the label of its id is toxic or of low quality."""
+    labels = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).when(F.col("toxic").isNotNull() | F.col("quality").isNotNull(), 0).alias("bad"))
+    return url_templates.judge(_read(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_read(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_langid.identify(_read(spark, sf_dir, "documents"))
 
@@ -55,5 +69,5 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op3_language_id, op4_warc_bundles, op5_permutation_ann, op6_simhash_dedup, op7_pareto_mix, op8_kdtree_topk, op9_hypergeometric_shuffle, op10_mixture_packing]
+    named = [op1_url_templates, op2_html_extraction, op3_language_id, op4_warc_bundles, op5_permutation_ann, op6_simhash_dedup, op7_pareto_mix, op8_kdtree_topk, op9_hypergeometric_shuffle, op10_mixture_packing]
     return {f.__name__: f for f in named}
