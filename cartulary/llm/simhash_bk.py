@@ -206,4 +206,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius
     order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("__row").alias("r"))
     kept = clusters(table.select(order.alias("order"), F.col("__fp").alias("fp")), "order", radius, agree)
     kept = write_table(kept.select(F.col("component_id.r").alias("__row")).distinct(), "kept")
-    return table.join(kept, "__row", "left_semi").select(*cols)
+    # a merge join at every size: the list of kept rows grows with the table, so it is never broadcast
+    return table.join(kept.hint("merge"), "__row", "left_semi").select(*cols)
