@@ -24,7 +24,8 @@ def test_tokens(spark, text, want):
 
 
 def test_act_ids(spark):
-    assert run(spark, T.act_ids(F.col("t")), t="DISP-A : 12/2024 y 7/99") == ["12/2024"]
+    assert run(spark, T.act_ids(F.col("t")), t="acto 12/2024 y 7/99") == ["12/2024"]
+    assert run(spark, T.act_ids(F.col("t")), t="DISP-A : 12/2024") == []  # one token with its code; its parts are no identifiers
 
 
 def test_mentions(spark):
