@@ -4,6 +4,9 @@ Each source is a queue of tokens. Every window takes from each source its target
 carried to the next window. With a quantum of one token the state of the round-robin after w windows has a closed form: the sources up to k have
 sent floor(w * L * B / T) tokens, where B is their share of all T tokens. So any partition knows the deficits at any window without a replay of
 the windows before it, and a document's pieces follow from its place in its source's queue alone: no text or token is shuffled.
+
+That form needs sources of at least a token a window. Rarer ones form a group, the last in order, which is filled in the same way in windows
+twice as long, the rarer ones among them again, and so on: each source stays within a few tokens of its share at any window.
 """
 
 from __future__ import annotations
@@ -100,46 +103,67 @@ def sent(window: int, upto: int, total: int, length: int) -> int:
     return min(upto, window * length * upto // total)
 
 
-def pieces(start: int, n: int, low: int, high: int, total: int, length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(place in the document, length, sequence, offset) of n tokens from `start` on in the queue of a source that holds tokens [low, high) of all.
+def _runs(start: int, n: int, low: int, high: int, total: int, length: int) -> Iterator[tuple[int, int, int]]:
+    """(place, length, position) of n tokens from `start` on in the queue of a source that holds [low, high) of `total` tokens in windows of `length`.
 
-    The last window is partly full: its tokens go to sequences of powers of two, largest first, which take no padding.
+    The queue grows with every window if the source sends at least a token a window, or if it is the first or the last in order.
     """
-    if not n:
-        return
-    last = total // length  # the number of full windows
-    sequences = [last + i for i in range(bin(total % length).count("1"))]
-    ends, at = [], 0
-    for bit in range(length.bit_length() - 1, -1, -1):
-        if total % length >> bit & 1:
-            at += 1 << bit
-            ends.append(at)
-    w = start * total // (length * (high - low))
-    w = max(0, min(w, last))
     queue = lambda x: sent(x, high, total, length) - sent(x, low, total, length)
+    w = max(0, min(start * total // (length * (high - low)), total // length)) if n else 0
     while w and queue(w) > start:
         w -= 1
-    while queue(w + 1) <= start:
-        w += 1
     done = 0
     while done < n:
         begin, stop = queue(w), queue(w + 1)
         take = min(n - done, stop - start - done)
         if take > 0:
-            offset = sent(w + 1, low, total, length) - sent(w, low, total, length) + start + done - begin
-            if w < last:
-                yield done, take, w, offset
-            else:
-                a = offset
-                while a < offset + take:
-                    k = next(i for i, e in enumerate(ends) if a < e)
-                    b = min(ends[k], offset + take)
-                    yield done + a - offset, b - a, sequences[k], a - (ends[k - 1] if k else 0)
-                    a = b
+            yield done, take, w * length + sent(w + 1, low, total, length) - sent(w, low, total, length) + start + done - begin
             done += take
         w += 1
 
 
+def pieces(start: int, n: int, low: int, high: int, total: int, length: int, inner: list[tuple[int, int, int, int]] = ()) -> Iterator[tuple[int, int, int, int]]:
+    """(place in the document, length, sequence, offset) of n tokens from `start` on in the queue of a source that holds tokens [low, high) of all.
+
+    `inner` are the levels (low, high, tokens, window) below that queue, the deepest first, where the source is one of a group. The last window
+    is partly full: its tokens go to sequences of powers of two, largest first, which take no padding.
+    """
+    runs = [(0, n, start)]
+    for level in [*inner, (low, high, total, length)]:
+        runs = [(at + a, k, p) for at, m, q in runs for a, k, p in _runs(q, m, *level)]
+    last = total // length  # the number of full windows
+    cuts, at = [(0, last * length, length)], last * length
+    for bit in range(length.bit_length() - 1, -1, -1):
+        if total % length >> bit & 1:
+            cuts.append((at, at + (1 << bit), 1 << bit))
+            at += 1 << bit
+    for at, k, p in runs:
+        done = 0
+        while done < k:
+            c = next(i for i, (_, e, _) in enumerate(cuts) if p + done < e)
+            size = cuts[c][2]
+            window, offset = divmod(p + done - cuts[c][0], size)
+            take = min(k - done, size - offset)
+            yield at + done, take, window if not c else last + c - 1, offset
+            done += take
+
+
+def chains(sums: dict[int, int], length: int) -> dict[int, tuple[int, int, list[tuple[int, int, int, int]]]]:
+    """For each level of sources its (tokens of it and of deeper ones, window) and the levels above, next one first, in the form of pieces().
+
+    A source of level k sends at least one token, and less than two, in 2 ** k windows. The deeper levels are one group, the last in order, of
+    the level above them; `sums` are the tokens of each level's own sources.
+    """
+    total, out, above = sum(sums.values()), {}, []
+    rest = total
+    for k in sorted(sums):
+        window = -(-length * 2**k * rest // total)
+        out[k] = (rest, window, list(above))
+        above.insert(0, (sums[k], rest, rest, window))
+        rest -= sums[k]
+    return out
+
+
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", source: str = "source", length: int = LENGTH, end: int | None = END) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source) for each piece; each token lies in exactly one piece.
 
@@ -149,22 +173,30 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
     toks = write_table(_tokens(docs, tokenizer, id_col, text, source, end), "tokens")
     per_part = toks.groupBy("source", "part").agg(F.sum("n").alias("m"))
     sources = write_table(per_part.groupBy("source").agg(F.sum("m").alias("own")), "sources")  # one row a source
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    shares = sources.withColumn("high", F.sum("own").over(order)).withColumn("total", F.sum("own").over(Window.partitionBy()))
-    shares = write_table(shares.select(F.col("source").alias("s"), (F.col("high") - F.col("own")).alias("low"), "high", "total"), "shares")
+    # level: the least k with own * length * 2 ** k >= total, the bit length of a quotient
+    total = F.sum("own").over(Window.partitionBy())
+    ratio = F.expr(f"(total - 1) div (own * {length})")
+    ranked = sources.where("own > 0").withColumn("total", total).withColumn("level", F.when(ratio > 0, F.length(F.bin(ratio))).otherwise(0))
+    high = F.sum("own").over(Window.partitionBy("level").orderBy(F.col("source").isNull(), "source"))
+    shares = write_table(ranked.withColumn("high", high).select(F.col("source").alias("s"), (F.col("high") - F.col("own")).alias("low"), "high", "level", "total"), "shares")
+    levels = chains({r.level: r.own for r in shares.groupBy("level").agg(F.sum(F.col("high") - F.col("low")).alias("own")).collect()}, length)  # 64 rows at most
     before = F.sum("m").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = per_part.withColumn("base", F.coalesce(before, F.lit(0))).join(shares, F.col("source").eqNullSafe(F.col("s")))
-    parts = write_table(parts.select(F.col("s").alias("ps"), F.col("part").alias("pp"), "base", "low", "high", "total"), "parts")
+    parts = write_table(parts.select(F.col("s").alias("ps"), F.col("part").alias("pp"), "base", "low", "high", "level", "total"), "parts")
     rows = toks.join(parts, (F.col("part") == F.col("pp")) & F.col("source").eqNullSafe(F.col("ps")))
-    rows = rows.select("id", "source", (F.col("base") + F.col("start")).alias("start"), "n", "ids", "width", "low", "high", "total")
+    rows = rows.select("id", "source", (F.col("base") + F.col("start")).alias("start"), "n", "ids", "width", "low", "high", "level", "total")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols, row = [b.column(i).to_pylist() for i in (2, 3, 4, 5, 6, 7, 8)], []
+            cols, row = [b.column(i).to_pylist() for i in range(2, 10)], []
             of, out = [], []
-            for i, (start, n, ids, width, low, high, total) in enumerate(zip(*cols)):
+            for i, (start, n, ids, width, low, high, level, total) in enumerate(zip(*cols)):
                 ids = np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
-                for at, k, seq, offset in pieces(start, n, low, high, total, length):
+                queue, window, above = levels[level]
+                *inner, top = (low, high, queue, window), *above
+                if top[3] != length:  # no source is of level 0
+                    inner, top = [*inner, top], (0, total, total, length)
+                for at, k, seq, offset in pieces(start, n, *top, inner):
                     of.append(i)
                     out.append((at, k, zlib.crc32(ids[4 * at : 4 * (at + k)]), n, seq, offset))
             data = np.array(out, np.int64).reshape(-1, 6)

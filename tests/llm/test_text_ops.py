@@ -268,3 +268,34 @@ def test_pieces_fill_every_window(total):
             assert o == at
             at += k
         assert at.bit_count() == 1
+
+
+@pytest.mark.parametrize("owns", [[1], [1] * 5000, [9000, 1, 1, 1], [3, 50_000, 7, 900, 20, 20, 1], [2048, 1, 4095]])
+def test_rare_sources_stay_near_their_share(owns):
+    total, by = sum(owns), defaultdict(list)
+    for i, own in enumerate(owns):
+        by[((total - 1) // (own * 2048)).bit_length()].append(i)
+    levels = drr_pack.chains({k: sum(owns[i] for i in v) for k, v in by.items()}, 2048)
+    place, got = {}, set()
+    for k, v in by.items():
+        low = 0
+        for i in v:
+            queue, window, above = levels[k]
+            chain = [(low, low + owns[i], queue, window), *above]
+            low += owns[i]
+            place[i] = []
+            for at, n, s, o in drr_pack.pieces(0, owns[i], 0, total, total, 2048, chain):
+                assert at == len(place[i])
+                place[i] += [s] * n
+                assert not got & {(s, x) for x in range(o, o + n)}
+                got |= {(s, x) for x in range(o, o + n)}
+    assert len(got) == total
+    for i, seqs in place.items():
+        assert seqs == sorted(seqs)
+        for w in range(total // 2048 + 1):
+            assert abs(sum(s < w for s in seqs) - w * 2048 * owns[i] / total) < 5
+
+
+def test_packing_many_rare_sources(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").selectExpr("doc_id", "text", "case when doc_id % 3 = 0 then source when doc_id % 31 = 0 then null else cast(doc_id as string) end source")
+    check_packing(drr_pack.pack(docs, tokenizer_path()).collect(), [(r.doc_id, r.text) for r in docs.collect()])
