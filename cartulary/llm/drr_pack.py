@@ -11,6 +11,7 @@ twice as long, the rarer ones among them again, and so on: each source stays wit
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -31,23 +32,29 @@ class Encoder:
     """Ids of whole texts by a tokenizer file of the tokenizers library, as little-endian bytes.
 
     A plain byte-level BPE whose ids follow the order of its merges has the same ids by ranks, which tiktoken encodes several times faster. Texts
-    that hold an added token, and all texts where the file is of another kind, go through the tokenizer itself.
+    that hold an added token, and all texts where the file is of another kind, go through the tokenizer itself, which is read when first needed.
     """
 
     def __init__(self, path: str) -> None:
         import json
         import re
 
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        added = [re.escape(x["content"]) for x in spec.get("added_tokens", [])]
-        self.added = re.compile("|".join(added) or r"(?!)")
+        added = spec.get("added_tokens") or []
+        vocab = spec["model"]["vocab"]
+        top = max([len(vocab) - 1, *(x["id"] for x in added), *(vocab.values() if isinstance(vocab, dict) else ())])
+        self.dtype = np.dtype("<u2") if top < 1 << 16 else np.dtype("<u4")
+        self.added = re.compile("|".join(re.escape(x["content"]) for x in added) or r"(?!)")
         self.ranked = self._ranked(spec)
 
+    @functools.cached_property
+    def tok(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _ranked(self, spec: dict):
         import tiktoken
 
@@ -69,11 +76,17 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
         whole = [i for i, t in enumerate(texts) if self.ranked is None or self.added.search(t)]
-        for i, e in zip(whole, self.tok.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
+        for i, e in zip(whole, self.tok.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False) if whole else []):
             out[i] = np.array(e.ids, self.dtype).tobytes()
         return [np.array(self.ranked(t), self.dtype).tobytes() if x is None else x for t, x in zip(texts, out)]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(path)
+
+
 def _tokens(docs: DataFrame, tokenizer: str, id_col: str, text: str, source: str, end: int | None) -> DataFrame:
     """(id, source, part, start, n, ids): start is the document's place among its source's tokens in its part (the task that read it)."""
     arrow_batches(docs.sparkSession)
@@ -81,7 +94,7 @@ def _tokens(docs: DataFrame, tokenizer: str, id_col: str, text: str, source: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part, sent = Encoder(tokenizer), TaskContext.get().partitionId(), {}
+        enc, part, sent = encoder(tokenizer), TaskContext.get().partitionId(), {}
         tail = b"" if end is None else np.array([end], enc.dtype).tobytes()
         for b in batches:
             for at in range(0, b.num_rows, BATCH):
