@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches
+from .common import arrow_batches, write_table
 
 ORDER = 4
 #: The classifier is fitted on at most this many labelled documents of each language, chosen by a hash of the id; documents up to MAX_CHARS come first.
@@ -171,8 +171,13 @@ def _score(model: Model, pieces: list[tuple[int, bytes]], out: np.ndarray) -> No
 def sample(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG, max_chars: int = MAX_CHARS) -> dict[str, list[bytes]]:
     """The bounded training sample: for each non-null label up to docs_per_lang whole non-empty texts."""
     keyed = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), (F.length(text) > max_chars).alias("long"), F.xxhash64(F.lit(7), F.col(id_col)).alias("h"), F.col(id_col).alias("id"))
+    # counts of 256 ranges of the hash tell which ranges hold the first texts, so only these are ranked by language
+    keyed = write_table(keyed.withColumn("range", F.shiftright("h", 56)), "lang_keys")
+    upto = F.sum("count").over(Window.partitionBy("lang").orderBy("long", "range"))
+    ranges = keyed.groupBy("lang", "long", "range").count().where("lang is not null").withColumn("upto", upto).where(F.col("upto") - F.col("count") < docs_per_lang)
+    near = keyed.join(ranges.select("lang", "long", "range"), ["lang", "long", "range"], "left_semi")
     best = Window.partitionBy("lang").orderBy("long", "h", "id")
-    chosen = keyed.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= docs_per_lang).select("lang", "id").distinct()
+    chosen = near.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= docs_per_lang).select("lang", "id").distinct()
     chosen = chosen.where(F.col("id").isNotNull()).collect()  # at most docs_per_lang ids a language
     by: dict = {r.id: r.lang for r in chosen}
     out: dict[str, list[bytes]] = {}
