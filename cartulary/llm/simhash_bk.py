@@ -127,12 +127,18 @@ def shard_links(own: list[int], other: list[int], radius: int) -> list[tuple[int
     return links
 
 
-def links(fps: DataFrame, radius: int = RADIUS, agree: int = 1, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def agreement(n: int, radius: int, shard_rows: int) -> int:
+    """The fewest blocks to agree on with which a shard of n evenly spread fingerprints holds about shard_rows or less: shards hold n / 2 ** (64 * k / (radius + k))."""
+    return next((k for k in range(1, 64 - radius) if n >> (64 * k // (radius + k)) <= shard_rows), 64 - radius)
+
+
+def links(fps: DataFrame, radius: int = RADIUS, agree: int | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Links (a, b) between distinct fingerprints `fp`, at least one path for each pair within the radius.
 
-    agree: blocks that a shard's fingerprints share. With more fingerprints take more: shards hold about n / 2**(64 * agree / (radius + agree)).
+    agree: blocks that a shard's fingerprints share, by default as many as their number asks for. Any choice finds the same links' components.
     """
     spark, col = fps.sparkSession, F.col("fp")
+    agree = agree or agreement(fps.count(), radius, shard_rows)
 
     def value(blocks: list[tuple[int, int]]):
         out = F.lit(0).cast("long")
@@ -177,7 +183,7 @@ def links(fps: DataFrame, radius: int = RADIUS, agree: int = 1, shard_rows: int
     return rows.repartition(parts, *by).sortWithinPartitions(*by, "side").mapInArrow(run, "a long, b long")
 
 
-def clusters(hashed: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, agree: int = 1, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def clusters(hashed: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, agree: int | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(fp, component_id) for each distinct fp of a table with `fp` and id_col; component_id is the smallest id reachable over links, null where none has an id."""
     fps = write_table(hashed.groupBy("fp").agg(F.min(id_col).alias("least_id")), "fps")
     comp = write_table(components(links(fps, radius, agree, shard_rows)), "comp")
@@ -187,7 +193,7 @@ def clusters(hashed: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, ag
     return fps.join(linked.withColumnRenamed("fp", "lfp"), F.col("fp") == F.col("lfp"), "left").select("fp", F.when(F.col("lfp").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, agree: int = 1, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, agree: int | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(id, fp, component_id) for each row: rows link where their fingerprints differ in at most `radius` bits.
 
     Null and empty texts have fingerprint 0 and link like any other; rows with a null id keep their row and bridge links; repeated rows stay
@@ -198,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return hashed.join(members, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, agree: int = 1) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, agree: int | None = None) -> DataFrame:
     """docs with one row of each component: that of the smallest id (rows with an id first, then in the table's order). The columns are those of docs."""
     cols = docs.columns
     table = write_table(with_fingerprint(docs.withColumn("__row", F.monotonically_increasing_id()), text, "__fp"), "docs_hashed")

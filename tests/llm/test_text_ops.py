@@ -57,7 +57,7 @@ def test_simhash_against_brute_force(spark, small):
     assert got == want
 
 
-@pytest.mark.parametrize(("agree", "shard_rows"), [(1, 4096), (1, 7), (2, 4096), (3, 5)])
+@pytest.mark.parametrize(("agree", "shard_rows"), [(1, 4096), (1, 7), (2, 4096), (3, 5), (None, 4096), (None, 3)])
 def test_links_of_dense_groups(spark, agree, shard_rows):
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(6)]
