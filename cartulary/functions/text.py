@@ -55,7 +55,8 @@ def starts_of(text: Column, piece: Column) -> Column:
 
 def mentions_strict(text: Column, pieces: Column, window: int = 40) -> Column:
     """Every piece starts within `window` characters of one occurrence of the first piece; no piece: false."""
-    near = lambda a: F.forall(F.slice(pieces, 2, 1000), lambda p: F.exists(starts_of(text, p), lambda b: F.abs(a - b) <= window))
+    begin = lambda a: F.greatest(a - window, F.lit(0))
+    near = lambda a: F.forall(F.slice(pieces, 2, 1000), lambda p: F.contains(F.substr(text, begin(a) + 1, a + window - begin(a) + F.length(p)), p))
     return (F.size(pieces) > 0) & F.forall(pieces, lambda p: F.contains(text, p)) & F.exists(starts_of(text, F.get(pieces, F.lit(0))), near)
 
 

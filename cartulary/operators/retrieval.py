@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import fold, tokens
 
 K1, B, RRF_K, CANDIDATES = 1.5, 0.75, 60, 60
 
 
-def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
+def plain_tokens(text: Column) -> Column:
+    """The tokens of the plain full-text index: folded words that keep their hyphens and slashes."""
+    return F.regexp_extract_all(fold(text), F.lit("[a-z0-9/-]+"), F.lit(0))
+
+
+def postings(chunks: DataFrame, text: str = "text", tokenize: Callable[[Column], Column] = tokens) -> DataFrame:
     """(token, i, tf) of chunks (i, text)."""
-    return chunks.select("i", F.explode(tokens(F.col(text))).alias("token")).groupBy("token", "i").agg(F.count(F.lit(1)).alias("tf"))
+    return chunks.select("i", F.explode(tokenize(F.col(text))).alias("token")).groupBy("token", "i").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, allowed: DataFrame | None = None, k1: float = K1, b: float = B, tokenize: Callable[[Column], Column] = tokens) -> DataFrame:
     """(q, i, score) for queries (q, text). idf and the average length are those of all chunks, also where `allowed` (i) restricts the result; a repeated query token counts each time."""
-    length = chunks.select("i", F.size(tokens(F.col("text"))).alias("len"))
+    length = chunks.select("i", F.size(tokenize(F.col("text"))).alias("len"))
     stats = length.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
-    post = postings(chunks)
+    post = postings(chunks, tokenize=tokenize)
     df = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    wanted = queries.select("q", F.explode(tokens(F.col("text"))).alias("token")).groupBy("q", "token").agg(F.count(F.lit(1)).alias("qtf"))
+    wanted = queries.select("q", F.explode(tokenize(F.col("text"))).alias("token")).groupBy("q", "token").agg(F.count(F.lit(1)).alias("qtf"))
     hits = wanted.join(df, "token").join(post, "token").join(length, "i").crossJoin(stats)  # stats: one row
     if allowed is not None:
         hits = hits.join(allowed.select("i").distinct(), "i", "left_semi")
