@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import relational as R
 from ..operators import retrieval as I
 from ..sources import tables as S
-from . import lifecycle, oracles, recall, upkeep
+from . import lifecycle, oracles, recall, transfer, upkeep
 
 Query = Callable[[SparkSession, str], DataFrame]
 _all: dict[str, Query] = {}
@@ -453,8 +453,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return _all | lifecycle.queries() | upkeep.queries() | recall.queries()
+    return _all | lifecycle.queries() | upkeep.queries() | recall.queries() | transfer.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oracles.oracle_sql().items() if k in _all} | lifecycle.oracle_sql() | upkeep.oracle_sql() | recall.oracle_sql()
+    return {k: v for k, v in oracles.oracle_sql().items() if k in _all} | lifecycle.oracle_sql() | upkeep.oracle_sql() | recall.oracle_sql() | transfer.oracle_sql()
