@@ -47,17 +47,13 @@ def mentions_loose(text: Column, pieces: Column) -> Column:
     return F.size(F.filter(pieces, lambda p: F.contains(text, p))) >= F.least(F.lit(2), F.size(pieces))
 
 
-def starts_of(text: Column, piece: Column) -> Column:
-    """0-based starts of all, also overlapping, occurrences."""
-    last = F.length(text) - F.length(piece)
-    return F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), lambda i: F.substr(text, i + 1, F.length(piece)) == piece)).otherwise(F.array().cast("array<int>"))
-
-
 def mentions_strict(text: Column, pieces: Column, window: int = 40) -> Column:
     """Every piece starts within `window` characters of one occurrence of the first piece; no piece: false."""
-    begin = lambda a: F.greatest(a - window, F.lit(0))
-    near = lambda a: F.forall(F.slice(pieces, 2, 1000), lambda p: F.contains(F.substr(text, begin(a) + 1, a + window - begin(a) + F.length(p)), p))
-    return (F.size(pieces) > 0) & F.forall(pieces, lambda p: F.contains(text, p)) & F.exists(starts_of(text, F.get(pieces, F.lit(0))), near)
+    quoted = lambda p: F.concat(F.lit(r"\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    # one pass over the text: at a start of the first piece look ahead, and back to where another piece starts
+    near = lambda p: F.concat(F.lit("(?:(?=.{0,%d}" % window), quoted(p), F.lit(")|(?<=(?="), quoted(p), F.lit(").{1,%d}))" % window))
+    pattern = F.concat(F.lit("(?s)(?="), quoted(F.get(pieces, F.lit(0))), F.lit(")"), F.array_join(F.transform(F.slice(pieces, 2, 1000), near), ""))
+    return F.coalesce((F.size(pieces) > 0) & F.forall(pieces, lambda p: F.contains(text, p)) & F.regexp_like(text, pattern), F.lit(False))
 
 
 def pipes(line: Column) -> Column:

@@ -89,20 +89,20 @@ def write_bucketed(df: DataFrame, name: str, path: str) -> None:
 
 
 def write_canonical(df: DataFrame, path: str, key: str, fields: list[str], body: str) -> None:
-    """One folder a document, with a front matter of `field: value` lines between rules and the body below; line ends in values become spaces."""
-    line = lambda c: F.concat(F.lit(f"{c}: "), F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[\r\n]+", " "))
-    text = F.concat(F.lit("---\n"), F.concat_ws("\n", *map(line, fields)), F.lit("\n---\n"), F.coalesce(F.col(body), F.lit("")))
-    df.select(text.alias("value"), F.col(key).alias("document")).repartition("document").write.partitionBy("document").text(path)
+    """One file a document in up to 256 folders by the hash of its key: a front matter of `field: value` lines between rules, the key first, and the body below; line ends in values become spaces."""
+    line = lambda c, name: F.concat(F.lit(f"{name}: "), F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[\r\n]+", " "))
+    text = F.concat(F.lit("---\n"), F.concat_ws("\n", line(key, "document"), *[line(c, c) for c in fields]), F.lit("\n---\n"), F.coalesce(F.col(body), F.lit("")))
+    rows = df.select(text.alias("value"), bucket_of(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("bucket"))
+    rows.repartition("bucket").write.partitionBy("bucket").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_canonical(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
-    """(document, *fields, body, readable) of all front-matter files below a folder; a file without a front matter is not readable and has nulls."""
+    """(file, document, *fields, body, readable) of all front-matter files below a folder; a file without a front matter is not readable and has nulls."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("file", F.col("_metadata.file_path"))
     part = lambda k: F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n(.*?)\n?\z", k)
     ok = F.col("value").rlike(r"(?s)\A---\n.*?\n---\n")
     value = lambda c: F.regexp_extract(part(1), rf"(?m)^{c}: ?(.*)$", 1)
-    doc = F.regexp_extract("file", r"document=([^/]+)/[^/]*$", 1)
-    return files.select(doc.alias("document"), *[F.when(ok, value(c)).alias(c) for c in fields], F.when(ok, part(2)).alias("body"), ok.alias("readable"))
+    return files.select("file", *[F.when(ok, value(c)).alias(c) for c in ("document", *fields)], F.when(ok, part(2)).alias("body"), ok.alias("readable"))
 
 
 # --- vectors

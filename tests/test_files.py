@@ -31,12 +31,12 @@ def test_versions(spark, tmp_path):
 
 
 def test_documents_without_front_matter(spark, tmp_path):
-    for name, text in {"1": "---\ncode: A: b\nnumber: \n---\none\n\ntwo\n", "2": "no rules", "3": "", "4": "---\nnumber: 7\n---\n"}.items():
-        (tmp_path / f"document={name}").mkdir()
-        (tmp_path / f"document={name}" / "part.txt").write_text(text)
-    got = {r.document: tuple(r)[1:] for r in files.read_canonical(spark, str(tmp_path), ["code", "number"]).collect()}
-    assert got["1"] == ("A: b", "", "one\n\ntwo", True) and got["2"] == (None, None, None, False) and got["4"] == ("", "7", "", True)
-    assert "3" not in got or not got["3"][3]
+    for name, text in {"1": "---\ndocument: 1\ncode: A: b\nnumber: \n---\none\n\ntwo\n", "2": "no rules", "3": "", "4": "---\nnumber: 7\n---\n"}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part.txt").write_text(text)
+    got = {r.file.split("/")[-2]: tuple(r)[1:] for r in files.read_canonical(spark, str(tmp_path), ["code", "number"]).collect()}
+    assert got["1"] == ("1", "A: b", "", "one\n\ntwo", True) and got["2"] == (None, None, None, None, False) and got["4"] == ("", "", "7", "", True)
+    assert "3" not in got or not got["3"][-1]
 
 
 def test_bucket_of_names(spark):

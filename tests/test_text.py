@@ -48,3 +48,16 @@ def test_truncate_and_dates(spark):
 @pytest.mark.parametrize(("title", "after", "want"), [("FIRMAS", True, "firmas"), ("Anexo II", False, "anexo"), ("Página 3", True, "ruido"), ("PROGRAMA", True, "anexo"), ("Artículo 1", False, "articulo"), ("Que es", False, "considerando"), ("Parte dispositiva", False, "parte_resolutiva"), ("x", False, "otra")])
 def test_section_type(spark, title, after, want):
     assert run(spark, T.section_type(F.col("t"), F.col("a")), t=title, a=after) == want
+
+
+def test_strict_mentions(spark):
+    def brute(text, pieces):
+        at = lambda p: [i for i in range(len(text)) if text.startswith(p, i)]
+        return bool(pieces) and any(all(any(abs(a - b) <= 40 for b in at(p)) for p in pieces[1:]) for a in at(pieces[0]))
+
+    gap = lambda n: "x" * n
+    texts = ["abcd" + gap(36) + "wxyz", "abcd" + gap(37) + "wxyz", "wxyz" + gap(36) + "abcd", "wxyz" + gap(37) + "abcd", "abcdef", "abcd\n\nwxyz", "abcd wxyz" + gap(90) + "abcd", "ñandú abcd " + gap(20) + "\U0001f600 wxyz", ""]
+    cases = [(t, p) for t in texts for p in ([], ["abcd"], ["abcd", "wxyz"], ["cdef", "abcd"], ["abcd", "wxyz", "ñandú"], ["a.cd", "wxyz"])]
+    df = spark.createDataFrame(cases, "t string, p array<string>")
+    got = df.select("t", "p", T.mentions_strict(F.col("t"), F.col("p")).alias("m")).collect()
+    assert all(r.m == brute(r.t, r.p) for r in got)
