@@ -14,3 +14,11 @@ def test_strict_mentions_in_long_texts(spark, tmp_path):
     got = {r.doc_id: r.strict for r in registry.queries()["flt10_mentions_strict"](spark, str(tmp_path)).collect()}
     assert got == {i: brute(t.lower().replace("á", "a")) for i, t in enumerate(texts)}
     assert got[2] and not got[3]
+
+
+def test_attribution_reads_all_texts(spark, tmp_path):
+    # doc_id 150 apart: one number; the names stand in the fourth and fifth text only, or one of them never
+    texts = {0: "x", 150: "y", 300: None, 450: "THE", 600: "thát", 1: "the", 151: "x", 301: "x", 451: "x", 2: "the that", 3: None}
+    spark.createDataFrame([(i, t, "en", "a") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.number: r.right for r in registry.queries()["ret22_attribution"](spark, str(tmp_path)).collect()}
+    assert got == {"1/2024": True, "2/2025": False, "3/2026": True, "4/2024": False}
