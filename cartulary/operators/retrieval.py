@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, tokens
 
 K1, B, RRF_K, CANDIDATES = 1.5, 0.75, 60, 60
+BLOCK_ROWS = 4096
 
 
 def plain_tokens(text: Column) -> Column:
@@ -55,6 +60,50 @@ def top(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A list column of one length as a matrix; other lists raise an error."""
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks])
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _nearest(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"q": [], "i": [], "score": []}
+        if not rows.num_rows or not asked.num_rows:
+            return pa.table(out, SCORES)
+        v, w, ids = _matrix(rows["v"]), _matrix(asked["v"]), rows["i"].to_numpy()
+        total = lambda x: np.add.accumulate(x, axis=1)[:, -1]  # in the order of dot()
+        nv, nw = (np.maximum(np.sqrt(total(x * x)), 1e-9) for x in (v, w))
+        for j, q in enumerate(asked["q"].to_pylist()):
+            near = v @ w[j] / (nv * nw[j])
+            # scores that round to the kth or better; 2e-6 is more than a rounding step
+            c = np.flatnonzero(near >= np.partition(near, -k)[-k] - 2e-6) if len(near) > k else np.arange(len(near))
+            kinds, at = np.unique(total(v[c] * w[j]) / (nv[c] * nw[j]), return_inverse=True)
+            score = np.array([float(Decimal(repr(x)).quantize(Decimal("1e-6"), ROUND_HALF_UP)) for x in kinds.tolist()])[at]
+            best = np.lexsort((ids[c], -score))[:k]
+            out["q"] += [q] * len(best)
+            out["i"] += ids[c][best].tolist()
+            out["score"] += score[best].tolist()
+        return pa.table(out, SCORES)
+
+    return search
+
+
+SCORES = pa.schema([("q", pa.int64()), ("i", pa.int64()), ("score", pa.float64())])
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, rows: int = BLOCK_ROWS) -> DataFrame:
+    """top(cosine(vectors, queries), k) for any number of queries: a task holds one block of vectors and one of queries, and returns k rows a query at most."""
+    parts = lambda df: max(1, math.ceil(df.count() / rows))
+    shards, blocks = parts(vectors), parts(queries)
+    deal = lambda c, n, seed: F.pmod(F.xxhash64(F.lit(seed), F.col(c)), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = vectors.select(F.col("i").cast("long").alias("i"), "v", deal("i", shards, 1).alias("shard")).withColumn("block", each(blocks))
+    b = queries.select(F.col("q").cast("long").alias("q"), "v", deal("q", blocks, 2).alias("block")).withColumn("shard", each(shards))
+    found = a.groupBy("shard", "block").cogroup(b.groupBy("shard", "block")).applyInArrow(_nearest(k), "q long, i long, score double")
+    return top(found, k)
+
+
 def fuse(dense: DataFrame, lexical: DataFrame, k: int, rrf_k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists (q, i, rank); ties: dense rank, then lexical rank, then i."""
     a, b = dense.select("q", "i", F.col("rank").alias("rank_dense")), lexical.select("q", "i", F.col("rank").alias("rank_lex"))

@@ -1,5 +1,8 @@
 """Queries over the whole of their tables, against plain Python on small made tables."""
 
+import random
+
+from cartulary.operators import retrieval
 from cartulary.plans import registry
 
 
@@ -22,3 +25,26 @@ def test_attribution_reads_all_texts(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "a") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.number: r.right for r in registry.queries()["ret22_attribution"](spark, str(tmp_path)).collect()}
     assert got == {"1/2024": True, "2/2025": False, "3/2026": True, "4/2024": False}
+
+
+def test_knn_of_every_hundredth_row(spark, tmp_path):
+    rng = random.Random(3)
+    rows = {i: [rng.gauss(0, 1) for _ in range(8)] for i in [*range(0, 900, 3), -100, -7]}
+    rows |= {i: [1.0] * 8 for i in range(5001, 5041)} | {7000: [1.0] * 8, 7100: [0.0] * 8}  # copies: ties to the smaller id
+    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.q, r.rank): (r.i, r.score) for r in registry.queries()["ret04_knn"](spark, str(tmp_path)).collect()}
+    asked = [i for i in rows if i % 100 == 0]
+    assert {q for q, _ in got} == set(asked) and len(got) == 10 * len(asked)
+    v = df.selectExpr("vec_id as i", "embedding as v")
+    want = retrieval.top(retrieval.cosine(v, v.where("pmod(i, 100) = 0").selectExpr("i as q", "v")), 10)
+    assert got == {(r.q, r.rank): (r.i, r.score) for r in want.collect()}
+    again = retrieval.knn(v, v.where("pmod(i, 100) = 0").selectExpr("i as q", "v"), 10, rows=7)  # many blocks of both
+    assert got == {(r.q, r.rank): (r.i, r.score) for r in again.collect()}
+
+
+def test_daily_series_counts_all_events(spark, tmp_path):
+    days = ["2024-01-02", "2024-01-03", "2024-01-03", "2024-01-06", "2024-01-08"]
+    spark.createDataFrame([(k, x) for k, x in enumerate(days)], "event_id long, x string").selectExpr("event_id", "cast(x as timestamp) as ts").write.parquet(f"{tmp_path}/events.parquet")
+    got = {str(r.day): r.n for r in registry.queries()["agg08_daily_series"](spark, str(tmp_path)).collect()}
+    assert got == {f"2024-01-0{k}": n for k, n in {2: 1, 3: 2, 4: 0, 5: 0, 6: 1, 7: 0, 8: 1}.items()}
