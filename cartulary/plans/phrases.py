@@ -256,10 +256,16 @@ def jsn03_portal_rows(spark, d):
 
 @query(A + "SELECT k, number FROM (SELECT i AS k, number, number IN (SELECT number FROM acts WHERE i % 2 = 1) AS ok FROM acts WHERE i % 2 = 0) WHERE ok")
 def join21_cited_by(spark, d):
-    """Acts whose number another act of the other half names."""
-    a = S.acts(spark, d).select("i", "number")
-    cited = a.where("i % 2 = 1").select(F.explode(T.act_ids(F.concat(F.lit("ver "), F.col("number")))).alias("id")).distinct()
-    return a.where("i % 2 = 0").join(cited, F.col("number") == F.col("id"), "left_semi").select(F.col("i").alias("k"), "number")
+    """Acts and the ten best other acts that name their number, from the 60 lexically best rows of the number."""
+    a = S.acts(spark, d).select("i", "number", "code", "act_date", "text")
+    ids = a.where(F.col("text").rlike(r"\d\s*/\s*\d{4}")).select("i", F.concat_ws(" ", "code", "number").alias("citing"), F.col("act_date").alias("date"), F.explode(F.array_distinct(T.act_ids(F.col("text")))).alias("q"))
+    numbers = a.select(F.col("number").alias("q"), F.col("number").alias("text")).distinct()
+    naming = ids.join(I.top(I.bm25(a.select("i", "text"), numbers), 60), ["q", "i"]).select("q", "citing", "date", "rank")
+    acts = S.acts(spark, d).select(F.col("i").alias("k"), "number", F.concat_ws(" ", "code", "number").alias("own"))
+    pairs = acts.join(naming, (F.col("number") == F.col("q")) & (F.col("own") != F.col("citing")))
+    first = pairs.groupBy("k", "number", "citing").agg(F.min(F.struct("rank", "date")).alias("f"))
+    order = Window.partitionBy("k").orderBy("f.rank")
+    return first.withColumn("place", F.row_number().over(order)).where("place <= 10").select("k", "number", "citing", F.col("f.date").alias("date"), "place")
 
 
 @query("SELECT w AS warning, count(*) AS n FROM (SELECT unnest(['a ' || event_type, 'b ' || repeat(event_type, 20)]) AS x FROM events), (SELECT 1), LATERAL (SELECT substring(x, 1, 70) AS w) GROUP BY w ORDER BY n DESC, w LIMIT 15")

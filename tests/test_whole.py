@@ -48,3 +48,20 @@ def test_daily_series_counts_all_events(spark, tmp_path):
     spark.createDataFrame([(k, x) for k, x in enumerate(days)], "event_id long, x string").selectExpr("event_id", "cast(x as timestamp) as ts").write.parquet(f"{tmp_path}/events.parquet")
     got = {str(r.day): r.n for r in registry.queries()["agg08_daily_series"](spark, str(tmp_path)).collect()}
     assert got == {f"2024-01-0{k}": n for k, n in {2: 1, 3: 2, 4: 0, 5: 0, 6: 1, 7: 0, 8: 1}.items()}
+
+
+def test_cited_by_reads_texts(spark, tmp_path):
+    # doc_id 1 and 151 have the number 2/2025, doc_id 2 has 3/2026; even acts can be cited and can cite
+    rows = {0: "nothing", 1: "acto 2/2025 propio", 151: "ver acto 2/2025", 2: "ver 2/2025", 4: "ver 2 / 2025 y 3/2026", 5: "12/2025 y 2/20"}
+    rows |= {k: "ver 2/2025 " + "palabra " * (k - 5) for k in range(6, 20)}
+    df = spark.createDataFrame([(i, t, "en", "b" if i == 151 else "a") for i, t in rows.items()], "doc_id long, text string, lang string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    name = lambda i: f"DISP-{'B' if i == 151 else 'A'} {i % 50 + 1}/{2024 + i % 3}"
+    got = {}
+    for r in sorted(registry.queries()["join21_cited_by"](spark, str(tmp_path)).collect(), key=lambda r: r.place):
+        got.setdefault(r.k, []).append(r.citing)
+    assert set(got) == {1, 151, 2} and got[2] == [name(4)]
+    score = retrieval.top(retrieval.bm25(df.selectExpr("doc_id as i", "text"), spark.createDataFrame([("2/2025", "2/2025")], "q string, text string")), 60)
+    ranked = [r.i for r in score.orderBy("rank").collect() if r.i not in (0, 5)]
+    for k in (1, 151):
+        assert got[k] == [name(i) for i in ranked if name(i) != name(k)][:10]
