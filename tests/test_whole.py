@@ -1,4 +1,4 @@
-"""Queries over the whole of their tables, against plain Python on small made tables."""
+"""Queries over the whole of their tables, against independent results on small made tables."""
 
 import random
 
