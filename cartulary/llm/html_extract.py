@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,11 +25,18 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i kb
 #: Never shown; dropped whatever the trees say.
 HIDDEN = frozenset("script style title template noscript svg iframe object textarea select button head datalist canvas audio video".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
+#: Shown, but never main text by their very name.
+APART = frozenset("nav menu footer aside".split())
+#: Of the hidden ones, those that hide the rest of a page when they are never closed; of the others only the tag is dropped then.
+SWALLOWS = frozenset("script style".split())
 #: A tag closes open ones of its kind; a block closes an open paragraph.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-WORDS = re.compile(r"[a-z]+")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: All up to the tag's end; a quote opens a value after = only, and one that is never closed is a plain character. Possessive, so linear.
+REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-label)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)""", re.I)
+WORDS = re.compile(r"[^\W\d_]+")
 
 GROUPS = {
     "p": "p", "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "ul": "list", "ol": "list", "dl": "list", "li": "item", "dt": "item", "dd": "item",
@@ -50,6 +58,54 @@ HINTS = {
 }
 HINT_OF = {w: [k for k, v in HINTS.items() if w in v.split()] for v in HINTS.values() for w in v.split()}
 HINT_NAMES = list(HINTS)
+#: Buckets of the hash of any attribute token, in any language; the trees learn which of them tell something.
+BUCKETS = 64
+
+
+def tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of the markup from left to right; comments and declarations have no name.
+
+    The scanner goes on from the position where the last piece ended, and after a raw element from its end tag, so nothing inside a script or a
+    comment is taken for a tag. Each character is looked at a bounded number of times.
+    """
+    at, n, gone = 0, len(html), set()
+    while (start := html.find("<", at)) >= 0:
+        c = html[start + 1 : start + 2]
+        if c in ("!", "?"):
+            if html.startswith("<!--", start):
+                short = next((k for k in (">", "->") if html.startswith(k, start + 4)), None)
+                end = start + 4 + len(short) if short else html.find("-->", start + 4) + 3
+                end = n if end < start + 4 else end
+            else:
+                end = html.find(">", start) + 1 or n
+            yield start, end, "", False, ""
+            at = end
+            continue
+        closing = c == "/"
+        name = NAME.match(html, start + 1 + closing)
+        if not name:
+            if closing:  # </ without a name is a comment
+                end = html.find(">", start) + 1 or n
+                yield start, end, "", False, ""
+                at = end
+            else:
+                at = start + 1
+            continue
+        rest = REST.match(html, name.end())
+        if not rest:  # a tag that the page ends in
+            yield start, n, "", False, ""
+            return
+        tag, at = name[0].lower(), rest.end()
+        if closing or tag not in RAW:
+            yield start, at, tag, closing, rest[1]
+            continue
+        end = None if tag in gone else RAW_END[tag].search(html, at)
+        if end:
+            at = html.find(">", end.end()) + 1 or n
+        else:
+            gone.add(tag)
+            at = n if tag in SWALLOWS else at
+        yield start, at, "", False, ""  # with its content and its end tag
 
 
 class Page:
@@ -61,27 +117,30 @@ class Page:
         self.texts: list[tuple[int, int, str, bool]] = []
         stack, links, block, at, n = [0], 0, 0, 0, len(html)
         hidden = 0  # how many open nodes are never shown
+        open_tags: dict[str, int] = {}
+        solid = [0]  # for each place of the stack the last one up to it that is not inline
 
         def pop_to(k: int) -> None:
             nonlocal links, hidden
             for i in stack[k:]:
                 self.end[i] = len(self.tags)
                 hidden -= self.tags[i] in HIDDEN
-            del stack[k:]
+                open_tags[self.tags[i]] -= 1
+            del stack[k:], solid[k:]
             links = 0
 
-        for m in TOKEN.finditer(html):
-            start = m.start()
-            if start < at:
-                continue
+        def opened(tag: str, attrs: str) -> None:
+            solid.append(len(stack) if tag not in INLINE else solid[-1])
+            open_tags[tag] = open_tags.get(tag, 0) + 1
+            self._open(tag, attrs, stack)
+
+        for start, end, tag, closing, attrs in tags(html):
             if start > at and not hidden:
                 self.texts.append((stack[-1], block, html[at:start], links > 0))
-            at = m.end()
-            tag = m[2]
-            if tag is None:
+            at = end
+            if not tag:
                 continue
-            tag = tag.lower()
-            if m[1]:
+            if closing:
                 if tag in INLINE:
                     if tag == "a":
                         links = max(0, links - 1)
@@ -89,15 +148,13 @@ class Page:
                         pop_to(len(stack) - 1)
                     continue
                 block += 1
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[k]] == tag:
-                        pop_to(k)
-                        break
+                if open_tags.get(tag):
+                    pop_to(next(k for k in range(len(stack) - 1, 0, -1) if self.tags[stack[k]] == tag))
                 continue
-            if tag in INLINE and not (tag == "span" and m[3].strip()):
+            if tag in INLINE and not (tag == "span" and attrs.strip()):
                 links += tag == "a"
                 if tag == "span":  # balanced by a node, so that its end does not close another one
-                    self._open(tag, "", stack)
+                    opened(tag, "")
                 continue
             if tag in VOID:
                 block += tag in ("br", "hr")
@@ -105,23 +162,23 @@ class Page:
             if tag != "span":
                 block += 1
                 closes = CLOSES.get(tag, ())
-                for k in range(len(stack) - 1, 0, -1):
+                k = solid[-1]
+                while k > 0:
                     t = self.tags[stack[k]]
                     if t in closes or (t == "p" and tag not in INLINE):
                         pop_to(k)
                         break
-                    if t not in INLINE and not (closes and t in ("p", "b")):
+                    if not (closes and t == "p"):
                         break
-            if m[3].endswith("/") and tag not in GROUPS:
+                    k = solid[k - 1]
+            if attrs.endswith("/") and tag not in GROUPS:
                 continue
-            self._open(tag, m[3], stack)
+            opened(tag, attrs)
             hidden += tag in HIDDEN
-            if tag in RAW:
-                close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-                at = close.start() if close else n
         if at < n and not hidden:
             self.texts.append((stack[-1], block, html[at:], links > 0))
-        pop_to(0)
+        pop_to(1)
+        self.end[0] = len(self.tags)
 
     def _open(self, tag: str, attrs: str, stack: list[int]) -> None:
         self.parent.append(stack[-1])
@@ -140,14 +197,16 @@ class Page:
         return "\n".join(x for x in lines if x)
 
 
-def hints(attrs: str) -> list[int]:
-    out = [0] * len(HINT_NAMES)
+@lru_cache(maxsize=4096)
+def hints(attrs: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """Numbers of the hints and of the hash buckets of a tag's attribute tokens."""
+    of, buckets = set(), set()
     if attrs and "=" in attrs:
         for _, value in ATTRIBUTE.findall(attrs):
             for w in WORDS.findall(value.lower()):
-                for k in HINT_OF.get(w, ()):
-                    out[HINT_NAMES.index(k)] = 1
-    return out
+                of.update(HINT_NAMES.index(k) for k in HINT_OF.get(w, ()))
+                buckets.add(zlib.crc32(w.encode("utf-8", "replace")) % BUCKETS)
+    return tuple(of), tuple(buckets)
 
 
 def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +215,7 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
     n = int(first[-1])
     parent, end, depth, page = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n), np.empty(n, np.int64)
     kind = np.zeros((n, len(KINDS)))
-    hint = np.zeros((n, len(HINT_NAMES)))
+    hint, bucket = np.zeros((n, len(HINT_NAMES))), np.zeros((n, BUCKETS))
     own, link, links, stops = (np.zeros(n) for _ in range(4))
     for i, (p, at) in enumerate(zip(pages, first.tolist())):
         m = len(p.tags)
@@ -167,7 +226,8 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
         for j, (t, a) in enumerate(zip(p.tags, p.attrs)):
             kind[at + j, KINDS.index(GROUPS.get(t, "other"))] = 1
             if a:
-                hint[at + j] = hints(a)
+                of, buckets = hints(a)
+                hint[at + j, of], bucket[at + j, buckets] = 1, 1
         for node, _, text, in_link in p.texts:
             size = len(text) - text.count(" ") - text.count("\n")
             own[at + node] += size
@@ -194,67 +254,85 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
     for r, q in zip(rows[~top].tolist(), parent[~top].tolist()):
         order[r] = counts.get(q, 0)
         counts[q] = counts.get(q, 0) + 1
-    brothers = kids[parent] - 1
+    brothers = np.maximum(kids[parent] - 1, 0)
     others = np.maximum(kid_text[parent] - text, 0) / np.maximum(brothers, 1)
     # what stands above: the sums over ancestors, in document order
     above_kind, above_hint = kind.copy(), hint.copy()
-    deepest = int(depth.max()) if n else 0
-    for d in range(1, deepest + 1):
-        at = np.flatnonzero((depth == d) & ~top)
+    by_depth = np.argsort(depth, kind="stable")
+    for at in np.split(by_depth, np.cumsum(np.bincount(depth.astype(np.int64)))[:-1])[1:]:
         above_kind[at] += above_kind[parent[at]]
         above_hint[at] += above_hint[parent[at]]
     lg = np.log1p
     x = [lg(text), lg(own), linked / np.maximum(text, 1), lg(n_links), n_stops / np.maximum(text, 1), lg(n_stops), lg(nodes), text / nodes, lg(inside[:, KINDS.index("p")]), lg(inside[:, KINDS.index("item")]), depth, order / np.maximum(brothers, 1), lg(brothers), text / np.maximum(text[parent], 1), text / np.maximum(total, 1), before / np.maximum(total, 1), lg(others), np.minimum(text / np.maximum(others, 1), 50)]
-    return np.column_stack([*x, kind, hint, np.minimum(above_kind, 1), np.minimum(above_hint, 1), np.minimum(below(hint), 1)]), first
+    return np.column_stack([*x, kind, hint, np.minimum(above_kind, 1), np.minimum(above_hint, 1), np.minimum(below(hint), 1), bucket]), first
 
 
 class Trees:
-    """Gradient-boosted regression trees for log-odds (logistic loss, Newton leaves), on features in quantile bins."""
+    """Gradient-boosted regression trees for log-odds (logistic loss, Newton leaves), on features in quantile bins; each tree sees a share of rows and features."""
 
-    def __init__(self, rounds: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 2.0) -> None:
-        self.rounds, self.depth, self.rate, self.bins, self.ridge = rounds, depth, rate, bins, ridge
+    def __init__(self, rounds: int = 80, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 2.0, share: float = 0.5, seed: int = 5) -> None:
+        self.rounds, self.depth, self.rate, self.bins, self.ridge, self.share, self.seed = rounds, depth, rate, bins, ridge, share, seed
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
         self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
-        binned = self._bin(x)
+        binned = self._bin(x).astype(np.int64)
         n, f = binned.shape
         width = self.bins
         mean = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.base = float(np.log(mean / (1 - mean)))
         score = np.full(n, self.base)
         self.nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        flat = binned + np.arange(f) * width
+        draw = np.random.default_rng(self.seed)
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-score))
             g, h = p - y, p * (1 - p)
+            rows, seen = np.flatnonzero(draw.random(n) < self.share), np.sort(draw.permutation(f)[: max(1, int(f * self.share))])
+            flat = binned[np.ix_(rows, seen)] + np.arange(len(seen)) * width
             size = 2 ** (self.depth + 1) - 1
             feature, cut, value = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size)
-            where = np.zeros(n, np.int64)
+            where, part = np.zeros(n, np.int64), {0: np.arange(len(rows))}
+            sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+            def histogram(mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                idx, m = flat[mine].ravel(), len(seen)
+                return tuple(np.bincount(idx, np.repeat(v[rows[mine]], m), m * width) for v in (g, h))
+
             for node in range(size):
-                mine = np.flatnonzero(where == node)
-                gs, hs = g[mine].sum(), h[mine].sum()
+                mine = part.pop(node, np.zeros(0, np.int64))
+                gs, hs = g[rows[mine]].sum(), h[rows[mine]].sum()
                 value[node] = -self.rate * gs / (hs + self.ridge)
                 if node >= 2**self.depth - 1 or len(mine) < 20:
                     continue
-                idx = flat[mine].ravel()
-                hg = np.bincount(idx, np.repeat(g[mine], f), f * width).reshape(f, width).cumsum(1)
-                hh = np.bincount(idx, np.repeat(h[mine], f), f * width).reshape(f, width).cumsum(1)
+                own = sums.pop(node) if node in sums else histogram(mine)
+                hg, hh = (v.reshape(-1, width).cumsum(1) for v in own)
                 gain = hg**2 / (hh + self.ridge) + (gs - hg) ** 2 / (hs - hh + self.ridge) - gs**2 / (hs + self.ridge)
                 gain[(hh < 1) | (hs - hh < 1)] = 0
                 best = int(gain.argmax())
                 if gain.flat[best] > 1e-6:
-                    feature[node], cut[node] = divmod(best, width)
-                    right = binned[mine, feature[node]] > cut[node]
-                    where[mine] = 2 * node + 1 + right
+                    at, cut[node] = divmod(best, width)
+                    feature[node] = seen[at]
+                    all_mine = np.flatnonzero(where == node)
+                    where[all_mine] = 2 * node + 1 + (binned[all_mine, feature[node]] > cut[node])
+                    right = where[rows[mine]] == 2 * node + 2
+                    part[2 * node + 1], part[2 * node + 2] = mine[~right], mine[right]
+                    if 2 * node + 1 < 2**self.depth - 1:  # one child is counted, the other is the difference
+                        few, rest = sorted((2 * node + 1, 2 * node + 2), key=lambda k: len(part[k]))
+                        sums[few] = histogram(part[few])
+                        sums[rest] = tuple(a - b for a, b in zip(own, sums[few]))
             self.nodes.append((feature, cut, value))
             score += value[where]
         return self
 
-    def _bin(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.searchsorted(c, v, side="left") for c, v in zip(self.cuts, x.T)])
+    def _bin(self, x: np.ndarray, used: set[int] | None = None) -> np.ndarray:
+        """Bins of the features, or of those that the trees ask for."""
+        out = np.zeros(x.shape, np.int16)
+        for j, cuts in enumerate(self.cuts):
+            if used is None or j in used:
+                out[:, j] = np.searchsorted(cuts, x[:, j], side="left")
+        return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        binned = self._bin(x)
+        binned = self._bin(x, {int(f) for feature, _, _ in self.nodes for f in feature if f >= 0})
         out = np.full(len(x), self.base)
         rows = np.arange(len(x))
         for feature, cut, value in self.nodes:
@@ -268,9 +346,9 @@ class Trees:
 
 
 def decode(page: Page, odds: np.ndarray) -> np.ndarray:
-    """The set of nodes, closed upwards from the root, with the largest sum of log-odds; nodes never shown are out."""
+    """The set of nodes, closed upwards from the root, with the largest sum of log-odds; nodes never shown, or apart by name, are out."""
     gain = odds.astype(float).copy()
-    hidden = [t in HIDDEN for t in page.tags]
+    hidden = [t in HIDDEN or t in APART for t in page.tags]
     for i in range(len(gain) - 1, 0, -1):
         if hidden[i]:
             gain[i] = -np.inf
@@ -283,8 +361,42 @@ def decode(page: Page, odds: np.ndarray) -> np.ndarray:
     return keep
 
 
+#: Parts that are never taken for the text of a page where the trees find none.
+EDGES = APART | frozenset("header form fieldset address".split())
+
+
+def best_text(page: Page, odds: np.ndarray) -> str:
+    """The text of the decoded nodes. Where that is empty though the page has text outside its edges, the likeliest subtree with text is taken.
+
+    The edges are nodes by name or telling tokens (menus, headers, notices and the like) and nodes of links only, with all that is inside them.
+    """
+    out = page.text(decode(page, odds))
+    if out or not page.texts:
+        return out
+    n = len(page.tags)
+    edge, size, linked = np.zeros(n, bool), np.zeros(n), np.zeros(n)
+    main = HINT_NAMES.index("main")
+    for i, (t, a) in enumerate(zip(page.tags, page.attrs)):
+        of = hints(a)[0]
+        edge[i] = t in EDGES or t in HIDDEN or (bool(of) and main not in of) or (i > 0 and edge[page.parent[i]])
+    for node, _, text, link in page.texts:
+        size[node] += len(text.strip())
+        linked[node] += link * len(text.strip())
+    # texts of a node itself: those of links only are an edge as well
+    own = ~edge & (size > 0) & (linked < size)
+    if not own.any():
+        return ""
+    best = int(np.flatnonzero(own)[np.argmax(odds[own])])
+    shifted = np.where(edge, -np.inf, odds - odds[best] + 1.0)
+    up = best
+    while up > 0:  # the way to the best one is open
+        shifted[up] = max(shifted[up], 1.0)
+        up = page.parent[up]
+    return page.text(decode(page, shifted))
+
+
 @lru_cache(maxsize=2)
-def model(pages: int = 500, seed: int = 17) -> Trees:
+def model(pages: int = 900, seed: int = 17) -> Trees:
     """Trees fitted on pages made by rule; the number of pages bounds the sample."""
     from .html_pages import labelled
 
@@ -307,7 +419,7 @@ def extract(htmls: list[str | None], trees: Trees) -> list[str]:
         return []
     x, first = features(pages)
     odds = trees.score(x)
-    return [p.text(decode(p, odds[a:b])) for p, a, b in zip(pages, first[:-1], first[1:])]
+    return [best_text(p, odds[a:b]) for p, a, b in zip(pages, first[:-1], first[1:])]
 
 
 #: Pages whose nodes are scored together.
@@ -315,7 +427,12 @@ BATCH = 100
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(id, url, text, n_chars) for each row. A null or empty html, or one without main text, gives an empty text; repeated rows stay repeated; extra columns are ignored; an empty table gives an empty result."""
+    """(id, url, text, n_chars) for each row.
+
+    A null or empty html, or one without text outside its edges, gives an empty text. Very long pages are read whole, in time linear in their
+    length (but for the sorting of nodes by depth). Repeated rows stay repeated; extra columns, also of the result's names, are ignored; an empty table
+    gives an empty result.
+    """
     arrow_batches(pages.sparkSession)
     trees = model()
 

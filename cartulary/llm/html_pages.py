@@ -20,10 +20,21 @@ def _size(r: random.Random) -> int:
     return int(2 ** r.uniform(0, 8))
 
 
+#: Names of parts in other languages, by the first of their English names.
+FOREIGN = {
+    "nav": "navegacion navegación menue menü hauptmenue menú barre-nav", "header": "cabecera kopf kopfbereich entete en-tête encabezado", "footer": "pie pie-de-pagina fuss fusszeile fußzeile pied pied-de-page", "sidebar": "lateral barra-lateral seitenleiste randspalte colonne barre-laterale",
+    "ad": "publicidad anuncio anuncios werbung anzeige publicite publicité", "cookie-notice": "aviso avisos hinweis avis boletin rundbrief", "search": "buscar busqueda suche recherche formulario", "comments": "comentarios kommentare leserkommentare commentaires opiniones", "share": "compartir teilen partager redes",
+}
+
+
 def _tag(r: random.Random, semantic: str, names: str) -> tuple[str, str]:
-    """Opening and closing tag of a part: a semantic element, or a box with telling tokens, or both."""
+    """Opening and closing tag of a part: a semantic element, or a box with telling tokens (in some pages of another language, or without a meaning), or both."""
     way = r.random()
     name = r.choice(names.split())
+    if r.random() < 0.2:
+        name = r.choice(FOREIGN.get(names.split()[0], name).split())
+    elif r.random() < 0.05:
+        name = "x" + _words(r, 1).lower()
     attr = f' {r.choice(("class", "id"))}="{r.choice(("", "c-", "site-", "js-"))}{name}{r.choice(("", " wide", "-box"))}"' if way > 0.35 or not semantic else ""
     tag = semantic if semantic and way < 0.75 else r.choice(("div", "section", "div"))
     return f"<{tag}{attr}>", f"</{tag}>"
@@ -63,8 +74,17 @@ def _boilerplate(r: random.Random) -> dict[str, str]:
 def _article(r: random.Random) -> str:
     m = " data-main"
     blocks = []
+    boxes = r.random() < 0.25  # plain boxes instead of paragraphs
+    if r.random() < 0.2:  # a short page: one paragraph, or a heading and a few
+        blocks = [f"<h1{m}>{_words(r, r.randint(1, 8))}</h1>"] * r.choice((0, 1, 1))
+        if boxes:
+            blocks = [x.replace("h1", "div") for x in blocks]
+        for _ in range(r.choice((1, 1, 2, 3))):
+            t = "div" if boxes else "p"
+            blocks.append(f"<{t}{m}>{_words(r, _size(r) // 2 + 3)}</{t}>")
+        return blocks
     if r.random() < 0.85:
-        h = r.choice(("h1", "h1", "h2"))
+        h = "div" if boxes else r.choice(("h1", "h1", "h2"))
         blocks.append(f"<{h}{m}>{_words(r, r.randint(1, 10))}</{h}>")
     for _ in range(int(2 ** r.uniform(0, 5))):
         kind = r.random()
@@ -74,7 +94,7 @@ def _article(r: random.Random) -> str:
                 inner += f' <a href="/x">{_words(r, 2)}</a> ' + _words(r, 4)
             if r.random() < 0.1:
                 inner += f' <span class="hl"{m}>{_words(r, 3)}</span>'
-            blocks.append(f"<p{m}>{inner}</p>" if r.random() < 0.9 else f"<p{m}><b>{inner}<br>")
+            blocks.append(f"<div{m}>{inner}</div>" if boxes else f"<p{m}>{inner}</p>" if r.random() < 0.9 else f"<p{m}><b>{inner}<br>")
         elif kind < 0.78:
             blocks.append(f"<{(h := r.choice(('h2', 'h3')))}{m}>{_words(r, 4)}</{h}>")
         elif kind < 0.86:
@@ -92,22 +112,29 @@ def page(r: random.Random) -> str:
     bad = _boilerplate(r)
     pick = lambda *names: [bad[x] for x in names if r.random() < 0.5]
     blocks = _article(r)
+    few = len(blocks) < 5
     for extra in pick("ad", "share", "form") if r.random() < 0.3 else []:
         blocks.insert(r.randint(1, len(blocks)), extra)
     if r.random() < 0.15:
         blocks += [bad["comments"]]
         bad["comments"] = ""
-    way = r.random()
-    attr = f' class="{r.choice(("article", "post", "entry-content", "content", "story", "main-text"))}"'
-    a, b = ("<article>", "</article>") if way < 0.55 else (f"<article{attr}>", "</article>") if way < 0.65 else (f"<div{attr}>", "</div>") if way < 0.85 else ("<main>", "</main>") if way < 0.95 else ("<div>", "</div>")
-    main = a + "".join(blocks) + (b if r.random() < 0.95 else "")
+    way = 1 if few and r.random() < 0.7 else r.random()
+    telling = ("article", "post", "entry-content", "content", "story", "main-text")
+    foreign = ("contenido", "articulo", "artículo", "noticia", "cuerpo", "inhalt", "artikel", "beitrag", "contenu", "texte")
+    attr = f' class="{r.choice(telling) if r.random() < 0.6 else r.choice(foreign) if r.random() < 0.6 else "x" + _words(r, 1).lower()}"'
+    a, b = ("<article>", "</article>") if way < 0.55 else (f"<article{attr}>", "</article>") if way < 0.65 else (f"<div{attr}>", "</div>") if way < 0.85 else ("<main>", "</main>") if way < 0.9 else ("<div>", "</div>") if way < 0.91 else ("", "")
+    main = a + "".join(blocks) + (b if r.random() < 0.95 or not a else "")
     if r.random() < 0.25:
         main = f'<div class="{r.choice(("wrap", "container", "row", "page"))}">{main}' + "".join(pick("side", "comments", "share")) + "</div>"
     first, last = pick("notice", "header", "nav", "ad", "form"), pick("share", "comments", "side", "ad", "footer", "notice")
     r.shuffle(first)
     head = f"<head><meta charset=utf-8><title>{_words(r, 5)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
+    if r.random() < (0.4 if few else 0.12):  # a page with little or nothing around its text
+        first, last = first[:1] * r.randint(0, 1), last[:1] * r.randint(0, 1)
     body = "".join(first) + main + "".join(last)
-    return "<!DOCTYPE html><html>" + head + "<body>" + body + ("</body></html>" if r.random() < 0.9 else "")
+    way = r.random()
+    before = "" if way < 0.1 else "<body>" if way < 0.2 else "<!DOCTYPE html><html>" + head + "<body>"
+    return before + body + ("</body></html>" if before and r.random() < 0.9 else "")
 
 
 def labelled(pages: int, seed: int) -> list[tuple[str, None]]:

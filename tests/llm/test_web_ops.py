@@ -1,6 +1,7 @@
 """URL templates and HTML extraction on known cases and odd input."""
 
 import random
+import time
 
 import numpy as np
 from cartulary.llm import html_extract, html_pages, url_templates
@@ -89,6 +90,36 @@ def test_odd_html():
     assert text_of(None) == text_of("<script>x") == ""
 
 
+PROSE = "Some words that make a paragraph, with a few more words to follow."
+
+
+def test_scripts_do_not_swallow_the_page():
+    want = f"A heading of the page\n{PROSE}"
+    body = f"<article><h1>A heading of the page</h1><p>{PROSE}</p></article>"
+    scripts = ["<script>for(var i=0;i<n;i++){x()}</script>", '<script>var a="<!--";</script>', "<script>if(a</b/.test(c)){d='<p>'}</script >", "<style>a:before{content:'<'}</style>", "<textarea><p>x</textarea>", "<!-- <script> -->", "<!-->", "<? x ?>", "<title>unclosed"]
+    for script in scripts:
+        for html in (f"<html><head>{script}</head><body>{body}</body></html>", f"<body>{script}{body}</body>", f"<body>{body}{script}</body>"):
+            assert text_of(html) == want, html
+
+
+def test_unmarked_pages_are_not_empty():
+    box = f"<div>{PROSE} {PROSE}</div>"
+    assert text_of(f"<html><head><title>t</title></head><body>{box}{box}</body></html>").count(PROSE) == 4
+    assert text_of(f"<body><p>{PROSE}</p></body>") == PROSE
+    assert text_of(f"<div class=xyzzy><p>{PROSE}</p></div>") == PROSE
+    assert text_of(f"<body><h1>A heading over some words</h1><p>{PROSE}</p><p>{PROSE}</p></body>").endswith(f"{PROSE}\n{PROSE}")
+    assert text_of('<div class="contenido"><p>%s</p></div><div class="publicidad"><p>Compre ahora.</p></div>' % PROSE) == PROSE
+    assert text_of("<nav><a href=x>A</a></nav><footer>f</footer>") == ""
+    assert text_of('<p><a href="x>an unclosed quote</a> and words</p>') == "an unclosed quote and words"
+
+
+def test_odd_markup_takes_linear_time():
+    for part in ('<a "', '<a ="', "<a x='", "<title>", "<!--", "<", "</", '<a class="', "<script>", '=" >', "<x a= "):
+        began = time.time()
+        text_of(part * (1_000_000 // len(part)))
+        assert time.time() - began < 8, part
+
+
 def test_all_pages_exactly(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = html_extract.main_text(pages).collect()
