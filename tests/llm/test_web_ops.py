@@ -96,10 +96,11 @@ PROSE = "Some words that make a paragraph, with a few more words to follow."
 def test_scripts_do_not_swallow_the_page():
     want = f"A heading of the page\n{PROSE}"
     body = f"<article><h1>A heading of the page</h1><p>{PROSE}</p></article>"
-    scripts = ["<script>for(var i=0;i<n;i++){x()}</script>", '<script>var a="<!--";</script>', "<script>if(a</b/.test(c)){d='<p>'}</script >", "<style>a:before{content:'<'}</style>", "<textarea><p>x</textarea>", "<!-- <script> -->", "<!-->", "<? x ?>", "<title>unclosed"]
+    scripts = ["<script>for(var i=0;i<n;i++){x()}</script>", '<script>var a="<!--";</script>', "<script>if(a</b/.test(c)){d='<p>'}</script >", "<style>a:before{content:'<'}</style>", "<textarea><p>x</textarea>", "<!-- <script> -->", "<!-->", "<? x ?>"]
     for script in scripts:
         for html in (f"<html><head>{script}</head><body>{body}</body></html>", f"<body>{script}{body}</body>", f"<body>{body}{script}</body>"):
             assert text_of(html) == want, html
+    assert text_of(f"<html><head><title>never closed</head><body>{body}</body></html>") == want
 
 
 def test_unmarked_pages_are_not_empty():
