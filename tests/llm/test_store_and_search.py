@@ -78,15 +78,31 @@ def test_kdtree_is_exact(spark, small, shard_rows):
 
 def test_permutation_index(spark):
     table = odd_vectors(spark)
-    got = permutation_ann.search(table, k=8, share=1.0, shard_rows=40, block_rows=3).collect()
+    got = permutation_ann.search(table, k=8, share=1.0, prefix=1024, front=1024, shard_rows=40, block_rows=3).collect()
     assert {(r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in got} == brute(table, 20, 8, False, lambda v: v)
     assert permutation_ann.search(table.limit(0)).count() == 0
-    big = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    got = {(r.query_id, r.vec_id) for r in permutation_ann.search(big, least=1).collect()}  # the share alone
-    want = {(q, v) for q, _, v, _ in brute(big, 20, 20, False, lambda v: v)}
-    assert len(got & want) / len(want) >= 0.9
-    files = permutation_ann.positions(np.eye(5), np.eye(5)[:3])
-    assert (permutation_ann.footrule(files, files[:, 1]) == np.abs(files.astype(int) - files[:, [1]]).sum(0)).all()
+    for sf in ("sf0.01", "sf0.1"):  # with the query's own parameters
+        big = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+        got = {(r.query_id, r.vec_id) for r in permutation_ann.search(big).collect()}
+        want = {(q, v) for q, _, v, _ in brute(big, 20, 20, False, lambda v: v)}
+        assert len(got & want) / len(want) >= 0.9
+
+
+def test_inverted_files_hold_the_footrule():
+    rng = np.random.default_rng(2)
+    x, piv = rng.normal(size=(300, 16)), rng.normal(size=(100, 16))
+    lists = permutation_ann.prefixes(x, piv, 12)
+    assert (lists == np.argsort(-(x @ piv.T), axis=1, kind="stable")[:, :12]).all()
+    files = permutation_ann.Files(lists, 100)
+    for q in lists[:20]:
+        found, far = files.near(q, 3)
+        assert found.tolist() == [i for i, v in enumerate(lists) if set(v[:3]) & set(q)]  # rows outside the query's files are not touched
+        assert len(found) < 300
+        place = lambda v: {p: i for i, p in enumerate(v.tolist())}
+        for i, d in zip(found, far):
+            a, b = place(q), place(lists[i])
+            assert d == sum(abs(a.get(p, 12) - b.get(p, 12)) for p in a.keys() | b.keys())
+    assert files.near(lists[0], 12)[1].min() == 0
 
 
 def test_shuffle_is_exact(spark, small):
