@@ -17,18 +17,27 @@ lv AS (
   FROM w WINDOW r AS (ORDER BY cap / w, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 c AS (SELECT (SELECT level FROM lv WHERE w * level < cap ORDER BY cap / w, source IS NULL, encode(source) LIMIT 1) AS common),
 t AS (SELECT source, source_size, CASE WHEN common IS NULL THEN cap ELSE least(cap, w * common) END AS target FROM lv, c),
-p AS (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio, floor(ratio)::BIGINT AS whole, ratio - floor(ratio) AS p,
-         target - floor(ratio)::BIGINT * source_size AS rest
-  FROM t),
+f AS (  -- words of each size class: the size's length in bits; copies fall by half for each fourfold size
+  SELECT d.source, length(bin(size)) AS klass, pow(2.0::DOUBLE, -floor(length(bin(size))::DOUBLE / 2)) AS a, sum(size)::BIGINT AS words FROM d WHERE size > 0 GROUP BY ALL),
+g AS (
+  SELECT f.*, t.target, (t.target - coalesce(sum(words) OVER r, 0) * 2.0::DOUBLE) / (sum(words * a) OVER (PARTITION BY f.source) - coalesce(sum(words * a) OVER r, 0)) AS c
+  FROM f JOIN t ON f.source IS NOT DISTINCT FROM t.source WINDOW r AS (PARTITION BY f.source ORDER BY klass ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT *, min(CASE WHEN c * a < 2.0 THEN klass END) OVER (PARTITION BY source) AS k0 FROM g),
+e AS (
+  SELECT h.source, h.klass, h.words, CASE WHEN h.klass >= h.k0 THEN greatest(0.0, b.c * h.a) ELSE 2.0::DOUBLE END AS n
+  FROM h LEFT JOIN h b ON h.source IS NOT DISTINCT FROM b.source AND b.klass = h.k0),
+p AS (SELECT source, klass, words, floor(n)::BIGINT AS whole, n - floor(n) AS p FROM e),
+x AS (SELECT source, sum(whole * words)::BIGINT AS certain FROM p GROUP BY source),
 j AS (
-  SELECT d.doc_id, d.size, p.*, CASE WHEN p.p > 0 THEN (d.u / (1 - d.u)) / (p.p / (1 - p.p)) END AS q
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+  SELECT d.doc_id, d.size, t.source, t.source_size, t.target, t.target - coalesce(x.certain, 0) AS rest, coalesce(p.whole, 0) AS whole, p.p,
+         CASE WHEN p.p > 0 THEN (d.u / (1 - d.u)) / (p.p / (1 - p.p)) END AS q
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN x ON x.source IS NOT DISTINCT FROM t.source
+  LEFT JOIN p ON p.source IS NOT DISTINCT FROM t.source AND d.size > 0 AND p.klass = length(bin(d.size))),
 o AS (
   SELECT source, q, sum(size) OVER (PARTITION BY source ORDER BY q, size ROWS UNBOUNDED PRECEDING) AS upto, size, rest
-  FROM j WHERE p > 0 AND size > 0),
+  FROM j WHERE q IS NOT NULL),
 k AS (SELECT source, max(q) AS cut FROM o WHERE upto - size < rest AND abs(upto - rest) <= abs(upto - size - rest) GROUP BY source)
-SELECT j.doc_id, j.size, j.source_size, j.target, ((j.whole + CASE WHEN j.p > 0 AND j.q <= k.cut THEN 1 ELSE 0 END) * j.size)::BIGINT AS taken
+SELECT j.doc_id, j.size, j.source_size, j.target, ((j.whole + CASE WHEN j.q <= k.cut THEN 1 ELSE 0 END) * j.size)::BIGINT AS taken
 FROM j LEFT JOIN k ON j.source IS NOT DISTINCT FROM k.source
 """
 

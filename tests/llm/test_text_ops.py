@@ -184,6 +184,22 @@ def test_mix_targets_and_totals(spark):
     assert rows.count() == sum(r.taken // r.size for r in got if r.size)
 
 
+def test_mix_inclusion_follows_size(spark):
+    sizes = {0: 2, 1: 20, 2: 300}  # size classes 2, 5 and 9: relative copies 1/2, 1/4 and 1/16
+    docs = spark.range(6000).selectExpr("id as doc_id", "repeat('w ', case id % 3 when 0 then 2 when 1 then 20 else 300 end) text", "'a' source")
+    words = {n: 2000 * n for n in sizes.values()}
+    got = pareto_mix.mix(docs, total_share=0.3, seed=5).collect()
+    target = got[0].target
+    assert abs(target - 0.3 * sum(words.values())) < 1e-6 and abs(sum(r.taken for r in got) - target) <= 150
+    mean = lambda n: sum(r.taken for r in got if r.size == n) / words[n]
+    c = target / (words[2] / 2 + words[20] / 4 + words[300] / 16)
+    assert all(abs(mean(n) - c * a) < 0.05 for n, a in ((2, 1 / 2), (20, 1 / 4), (300, 1 / 16))) and 1.9 < c / 2 < 2
+    assert {r.taken // r.size for r in got if r.size == 2} == {1, 2}  # one certain copy, and another by lot
+    plain = pareto_mix.ranked(pareto_mix.slim_table(docs, "doc_id", "text", "source", 5), pareto_mix.plan(pareto_mix.slim_table(docs, "doc_id", "text", "source", 5), total_share=0.3)).where("q is not null").collect()
+    cut = max(r.q for r in plain if r.q <= r.cut)
+    assert any(r.u > s.u for r in plain[:500] for s in plain[:500] if r.q <= cut < s.q)  # the order is not that of the random numbers
+
+
 def test_mix_ranges_do_not_matter(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     slim = pareto_mix.slim_table(docs, "doc_id", "text", "source", 11)
