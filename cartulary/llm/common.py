@@ -61,6 +61,26 @@ def drop_table(df: DataFrame) -> None:
     drop_path(df.sparkSession, df._cartulary_path)
 
 
+#: A key is hot when it has more than one in HOT_KEYS of all rows, so there are fewer hot keys than that; and not below HOT_ROWS rows.
+HOT_KEYS, HOT_ROWS = 10_000, 10_000
+
+
+def join_hot(rows: DataFrame, lookup: DataFrame, on: list[tuple[str, str]], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with lookup (one row a key, `weight` rows of `rows` each) on equal non-null columns, without a hot key in one task.
+
+    The rows of hot keys meet their lookup rows, fewer than HOT_KEYS by definition, by broadcast and are not shuffled; all others are joined by
+    a merge join. `lookup` grows with the data and is never broadcast as a whole. rows is read twice.
+    """
+    floor = max(HOT_ROWS, total // HOT_KEYS)
+    hot, cold = lookup.where(F.col(weight) > floor), lookup.where(F.col(weight) <= floor)
+    meets = lambda t: [rows[a] == t[b] for a, b in on]
+    few = rows.join(F.broadcast(hot), meets(hot))
+    keys = hot.select(*[F.col(b).alias(f"__hot{i}") for i, (_, b) in enumerate(on)])
+    others = rows.join(F.broadcast(keys), [rows[a] == keys[f"__hot{i}"] for i, (a, _) in enumerate(on)], "left_anti")
+    many = others.join(cold.hint("merge"), [others[a] == cold[b] for a, b in on], how)
+    return few.unionByName(many)
+
+
 def arrow_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches of texts small, unless the session has chosen a size below ARROW_ROWS itself."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

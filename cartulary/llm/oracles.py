@@ -42,39 +42,38 @@ FROM j LEFT JOIN k ON j.source IS NOT DISTINCT FROM k.source
 """
 
 
-def op1_sql(depth: int = 4, support: int = 20, z: float = 1.96, m: float = 10.0) -> str:
-    """The template tree, one group of common tables a level."""
-    out = [r"""
-WITH lab AS (
+def op1_sql(depth: int = 32, support: int = 20, z: float = 1.96, m: float = 10.0) -> str:
+    """The template tree, one step of the recursion a level; a row leaves it when its template is complete."""
+    differs = lambda b, n, ab, an, tests: f"""CASE WHEN {an} > {n} AND {ab} > 0 AND {ab} < {an} AND
+      pow({b}::DOUBLE / {n} - ({ab} - {b})::DOUBLE / ({an} - {n}), 2) >= ({z * z}::DOUBLE + 2 * ln({tests}::DOUBLE)) * ({ab}::DOUBLE / {an}) * (1 - {ab}::DOUBLE / {an}) * (1::DOUBLE / {n} + 1::DOUBLE / ({an} - {n}))
+      THEN CASE WHEN {b}::DOUBLE / {n} - ({ab} - {b})::DOUBLE / ({an} - {n}) > 0 THEN '+' ELSE '-' END ELSE '' END"""
+    sums = lambda by, p: ", ".join(f"(sum({c}) OVER (PARTITION BY {by}))::BIGINT AS {p}{c[0]}" for c in ("n", "labelled", "bad"))
+    out = [f"""
+WITH RECURSIVE lab AS (
   SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 WHEN toxic IS NOT NULL OR quality IS NOT NULL THEN 0 END)::BIGINT AS bad
   FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 u AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
   FROM pages),
-s AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM u),
-r AS (
-  SELECT s.*, lab.bad, list_transform(parts[:%d], lambda x: regexp_replace(regexp_replace(x, '^[0-9a-fA-F-]{16,}$', '{h}'), '[0-9]+', '{n}', 'g')) || CASE WHEN len(parts) > %d THEN ['**'] ELSE [] END AS segs
-  FROM s LEFT JOIN lab ON page_id = doc_id),
-g AS (SELECT host, segs, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM r GROUP BY host, segs),
+s AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '^[0-9a-fA-F-]{{16,}}$', '{{h}}'), '[0-9]+', '{{n}}', 'g')) AS parts FROM u),
+r AS (SELECT s.*, lab.bad, CASE WHEN len(parts) > {depth} THEN parts[:{depth}] || [array_to_string(parts[{depth + 1}:], '/')] ELSE parts END AS segs FROM s LEFT JOIN lab ON page_id = doc_id),
+g AS (SELECT host, segs, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0)::BIGINT AS bad FROM r GROUP BY host, segs),
 o AS (SELECT CASE WHEN sum(labelled) > 0 THEN sum(bad)::DOUBLE / sum(labelled)::DOUBLE ELSE 0 END AS overall FROM g),
-h AS (SELECT host AS hh, (sum(bad)::DOUBLE + %s * any_value(overall)) / (sum(labelled)::DOUBLE + %s) AS purity FROM g, o GROUP BY host),
-t0 AS (SELECT host, segs, n, labelled, bad, purity, host AS node FROM g JOIN h ON host = hh)""" % (depth, depth, m, m)]
-    for d in range(depth + 1):
-        out.append(f"""
-k{d} AS (
-  SELECT node, coalesce(segs[{d + 1}], '$') AS seg, sum(n)::BIGINT AS n, sum(labelled)::BIGINT AS labelled, sum(bad)::BIGINT AS bad
-  FROM t{d} WHERE NOT suffix(node, '/$') GROUP BY ALL),
-w{d} AS (SELECT *, (sum(n) OVER p)::BIGINT AS wn, (sum(labelled) OVER p)::BIGINT AS wl, (sum(bad) OVER p)::BIGINT AS wb FROM k{d} WINDOW p AS (PARTITION BY node)),
-b{d} AS (
-  SELECT *, CASE WHEN seg = '$' THEN '$' WHEN n >= {support} AND (n = wn OR (labelled > 0 AND wl > labelled AND wb > 0 AND wb < wl AND
-    abs(bad::DOUBLE / labelled - (wb - bad)::DOUBLE / (wl - labelled)) >= {z} * sqrt((wb::DOUBLE / wl) * (1 - wb::DOUBLE / wl) * (1::DOUBLE / labelled + 1::DOUBLE / (wl - labelled))))) THEN seg ELSE '*' END AS branch
-  FROM w{d}),
-p{d} AS (SELECT node AS kn, seg AS ks, branch, (sum(labelled) OVER q)::BIGINT AS pl, (sum(bad) OVER q)::BIGINT AS pb FROM b{d} WINDOW q AS (PARTITION BY node, branch)),
-t{d + 1} AS (
-  SELECT host, segs, n, labelled, bad, CASE WHEN branch IS NOT NULL THEN (pb::DOUBLE + {m} * purity) / (pl::DOUBLE + {m}) ELSE purity END AS purity,
-         CASE WHEN branch IS NOT NULL THEN node || '/' || branch ELSE node END AS node
-  FROM t{d} LEFT JOIN p{d} ON node = kn AND coalesce(segs[{d + 1}], '$') = ks)""")
+h AS (SELECT host AS hh, (sum(bad)::DOUBLE + {m} * any_value(overall)) / (sum(labelled)::DOUBLE + {m}) AS purity FROM g, o GROUP BY host),
+t AS (
+  SELECT host, segs, n, labelled, bad, purity, host AS node, true AS open, 1 AS d FROM g JOIN h ON host = hh
+  UNION ALL
+  SELECT host, segs, n, labelled, bad,
+         CASE WHEN settled OR tk = 0 THEN purity ELSE (gb::DOUBLE + {m} * purity) / (gl::DOUBLE + {m}) END,
+         CASE WHEN settled THEN node || '/**' WHEN together = 1 AND (s2 <> '' OR kids = 1) THEN node || '/' || seg ELSE node || '/*' || s2 END, NOT settled AND seg <> '$', d + 1
+  FROM (SELECT *, {sums("node, s2", "g")}, count(DISTINCT seg) OVER (PARTITION BY node, s2) AS together, count(DISTINCT seg) OVER (PARTITION BY node) AS kids, count(CASE WHEN s2 <> '' THEN 1 END) OVER (PARTITION BY node) AS tk FROM (
+    SELECT *, CASE WHEN s1 = '' THEN '' ELSE s1 || {differs("kb", "kl", "sb", "sl", "m2")} END AS s2 FROM (
+    SELECT *, {sums("node, s1", "s")}, count(DISTINCT seg) OVER (PARTITION BY node, s1) AS m2 FROM (
+    SELECT *, CASE WHEN able AND NOT settled THEN {differs("kb", "kl", "wb", "wl", "m1")} ELSE '' END AS s1 FROM (
+    SELECT *, wb = 0 OR wb = wl OR wn < {2 * support} AS settled, count(DISTINCT CASE WHEN able THEN seg END) OVER (PARTITION BY node) AS m1 FROM (
+    SELECT *, kn >= {support} AND kl > 0 AS able FROM (
+    SELECT *, {sums("node, seg", "k")}, {sums("node", "w")} FROM (SELECT *, coalesce(segs[d], '$') AS seg FROM t WHERE open)))))))))"""]
     rules = [("block", "net/fr/"), ("block", "net/es/"), ("allow", "www.example.com/en/"), ("block", "example.com/en/"), ("allow", "com/")]
     rules.sort(key=lambda x: -len(x[1]))
     fits = [(a, x, "(r.host = '{0}' OR suffix(r.host, '.{0}')) AND prefix(r.path, '/{1}')".format(*x.split("/", 1))) for a, x in rules]
@@ -82,7 +81,7 @@ t{d + 1} AS (
     return ",".join(out) + f"""
 SELECT page_id, r.host, r.path, {case(1)} AS rule, coalesce({case(0)}, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
        regexp_replace(node, '/\\$$', '') AS template, purity
-FROM r JOIN t{depth + 1} t ON r.host = t.host AND r.segs = t.segs"""
+FROM r JOIN t ON r.host = t.host AND r.segs = t.segs AND NOT t.open"""
 
 
 #: The main text as it lies in these pages: the article element, a line for each paragraph or heading.

@@ -3,8 +3,9 @@
 import random
 import time
 
+import duckdb
 import numpy as np
-from cartulary.llm import html_extract, html_pages, url_templates
+from cartulary.llm import html_extract, html_pages, oracles, queries, url_templates
 from pyspark.sql import functions as F
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/")]
@@ -52,6 +53,45 @@ def test_templates_are_rejected_by_purity(spark):
     assert all(got[i].verdict == ("block" if i % 3 == 0 else "allow") for i in range(1200))
 
 
+def test_similar_branches_are_merged(spark, tmp_path):
+    r = random.Random(3)
+    bad_rate = {"spam": 0.9, "junk": 0.9, "news": 0.05, "blog": 0.05, "mixed": 0.5, "rare": 1.0}
+    rows, labels = [], []
+    for i in range(6000):
+        part = r.choice(["spam", "junk", "news", "blog", "mixed"] if i % 100 else ["rare"])
+        deep = "/".join(["2024", "05", "x"] * r.choice((0, 0, 0, 1)))
+        tail = r.choice(("a", "b", "good" if part == "mixed" else "c"))
+        rate = 0.02 if tail == "good" else bad_rate[part]
+        rows.append((i, f"http://{r.choice(('h.org', 'k.org'))}/{part}/{deep + '/' if deep else ''}{tail}" + r.choice(("", "/", f"/{i}"))))
+        labels.append((i, int(r.random() < rate) if i % 3 else None, None if i % 7 else 1))
+    rows += [(None, None), (7000, None), (7001, "http://h.org"), (7001, "http://h.org")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op1_url_templates(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(oracles.oracle_sql()["op1_url_templates"])
+    names = [c[0] for c in want.description]
+    key = lambda rs: sorted([tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in rs], key=repr)
+    assert key(tuple(x[c] for c in names) for x in got) == key(want.fetchall())
+    of = {x.page_id: x.template.split("/")[1] for x in got if x.page_id is not None and x.path.count("/") > 1}
+    part = {i: u.split("/")[3] for i, u in rows if u and u.count("/") > 3}
+    groups = {p: {of[i] for i in of if part.get(i) == p} for p in bad_rate}
+    assert groups["spam"] == groups["junk"] and groups["news"] == groups["blog"] and all(len(g) == 1 for g in groups.values())
+    assert groups["spam"].pop().startswith("*+") and groups["news"].pop().startswith("*-")
+    verdict = {x.page_id: x.verdict for x in got}
+    assert all(verdict[i] == "block" for i in of if part.get(i) in ("spam", "junk")) and all(verdict[i] == "allow" for i in of if part.get(i) in ("news", "blog"))
+    assert all(verdict[i] == "allow" for i, u in rows if i in of and part.get(i) == "mixed" and u.rstrip("/").endswith("good"))
+
+
+def test_paths_beyond_the_depth(spark):
+    rows = [(i, f"http://h.org/a/b/{'bad' if i % 2 else 'good'}/x") for i in range(200)]
+    got = url_templates.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(i, i % 2) for i in range(200)], "id long, bad int"), depth=2).collect()
+    assert {(r.template, r.verdict) for r in got} == {("h.org/a/b/bad/x/**", "block"), ("h.org/a/b/good/x/**", "allow")}
+
+
 def text_of(html):
     return html_extract.extract([html], html_extract.model())[0]
 
