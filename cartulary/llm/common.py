@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +20,12 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset the warehouse, or (local mode only) a temporary folder."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode only, where it is unset, a temporary folder; elsewhere an error."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        base = os.path.join(tempfile.gettempdir(), "cartulary") if local else spark.conf.get("spark.sql.warehouse.dir")
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = os.path.join(tempfile.gettempdir(), "cartulary")
     return base.rstrip("/")
 
 
@@ -38,6 +41,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes on leaving the tables written inside, but those put into the list it gives. Results that are still to be computed must not need the others."""
+    first, kept = len(_made), []
+    try:
+        yield kept
+    finally:
+        keep = {t._cartulary_path for t in kept}
+        gone = [x for x in _made[first:] if x[1] not in keep]
+        _made[first:] = [x for x in _made[first:] if x[1] in keep]
+        for spark, path in gone:
+            drop_path(spark, path)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
@@ -65,11 +82,11 @@ def drop_table(df: DataFrame) -> None:
 HOT_KEYS, HOT_ROWS = 10_000, 10_000
 
 
-def join_hot(rows: DataFrame, lookup: DataFrame, on: list[tuple[str, str]], weight: str, total: int, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, lookup: DataFrame, on: list[tuple[str, str]], weight: str, total: int, how: str = "inner", hint: str | None = "merge") -> DataFrame:
     """rows joined with lookup (one row a key, `weight` rows of `rows` each) on equal non-null columns, without a hot key in one task.
 
     The rows of hot keys meet their lookup rows, fewer than HOT_KEYS by definition, by broadcast and are not shuffled; all others are joined by
-    a merge join. `lookup` grows with the data and is never broadcast as a whole. rows is read twice.
+    a merge join, or without a hint as the planner chooses by size. rows is read twice.
     """
     floor = max(HOT_ROWS, total // HOT_KEYS)
     hot, cold = lookup.where(F.col(weight) > floor), lookup.where(F.col(weight) <= floor)
@@ -77,18 +94,19 @@ def join_hot(rows: DataFrame, lookup: DataFrame, on: list[tuple[str, str]], weig
     few = rows.join(F.broadcast(hot), meets(hot))
     keys = hot.select(*[F.col(b).alias(f"__hot{i}") for i, (_, b) in enumerate(on)])
     others = rows.join(F.broadcast(keys), [rows[a] == keys[f"__hot{i}"] for i, (a, _) in enumerate(on)], "left_anti")
-    many = others.join(cold.hint("merge"), [others[a] == cold[b] for a, b in on], how)
+    cold = cold.hint(hint) if hint else cold
+    many = others.join(cold, [others[a] == cold[b] for a, b in on], how)
     return few.unionByName(many)
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of texts small, unless the session has chosen a size below ARROW_ROWS itself."""
+    """Keeps Arrow batches of texts small, unless the session has chosen a size below ARROW_ROWS itself. The session keeps that size, as plans read it when they run."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b): a row (node, comp) for each node of an edge; comp is the component's smallest node.
 
     Alternates the large-star and small-star contractions; the stars' minima are written as tables, so the joins with a node of very many
@@ -96,7 +114,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     now = write_table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges0")
     seen = None
-    for k in range(max_rounds):
+    for k in itertools.count():  # each round joins what is near, so it ends
         sign = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if (sign.n, sign.s) == seen or not sign.n:
             return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(now.select("b", "b").distinct()) if sign.n else now.select(F.col("a").alias("node"), F.col("b").alias("comp"))
@@ -113,4 +131,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         for t in (now, least, large, least2):
             drop_table(t)
         now = new
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -1,19 +1,23 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Each source is a queue of tokens. Every window takes from each source its target share; what rounding withholds is the source's deficit,
-carried to the next window. With a quantum of one token the state of the round-robin after w windows has a closed form: the sources up to k have
-sent floor(w * L * B / T) tokens, where B is their share of all T tokens. So any partition knows the deficits at any window without a replay of
-the windows before it, and a document's pieces follow from its place in its source's queue alone: no text or token is shuffled.
+Each source is a queue of tokens. Every window takes from each source its target share, in turns of a quantum of tokens; what rounding withholds is
+the source's deficit, carried to the next window. The state of the round-robin after w windows has a closed form: the sources up to k have sent
+floor(w * L * B / T) quanta, where B is their share of all T quanta. So any partition knows the deficits at any window without a replay of the
+windows before it, and a document's pieces follow from its place in its source's queue alone: no text or token is shuffled.
 
-That form needs sources of at least a token a window. Rarer ones form a group, the last in order, which is filled in the same way in windows
-twice as long, the rarer ones among them again, and so on: each source stays within a few tokens of its share at any window.
+That form needs sources of at least a quantum a window. Rarer ones form a group, the last in order, which is filled in the same way in windows
+twice as long, the rarer ones among them again, and so on: each source stays within a few quanta of its share at any window.
+
+It also needs queues that end together. By default the shares are those of all tokens, so they do. Given weights are kept as long as all their queues
+last; where one ends, a new phase begins, in which the others keep their proportions among themselves. What is left of each queue beyond its last
+whole quantum makes a last phase, with a quantum of one token.
 """
 
 from __future__ import annotations
 
 import functools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,12 @@ from .common import arrow_batches, write_table
 
 LENGTH = 2048
 END = 1
+#: Tokens that a source sends in one turn, where a caller wants pieces longer than single tokens: an eighth of a sequence.
+QUANTUM = 256
+#: Weights are whole multiples of one part in so many.
+PARTS = 1_000_000
+#: Sources, at most: their table goes through windows of one task a level. More raise an error.
+MAX_SOURCES = 1_000_000
 #: Texts encoded together.
 BATCH = 256
 
@@ -135,22 +145,32 @@ def _runs(start: int, n: int, low: int, high: int, total: int, length: int) -> I
         w += 1
 
 
-def pieces(start: int, n: int, low: int, high: int, total: int, length: int, inner: list[tuple[int, int, int, int]] = ()) -> Iterator[tuple[int, int, int, int]]:
+def pieces(start: int, n: int, low: int, high: int, total: int, length: int, inner: Iterable[tuple[int, int, int, int]] = ()) -> Iterator[tuple[int, int, int, int]]:
     """(place in the document, length, sequence, offset) of n tokens from `start` on in the queue of a source that holds tokens [low, high) of all.
 
     `inner` are the levels (low, high, tokens, window) below that queue, the deepest first, where the source is one of a group. The last window
     is partly full: its tokens go to sequences of powers of two, largest first, which take no padding.
     """
-    runs = [(0, n, start)]
+    return cut(runs(start, n, low, high, total, length, inner), total, length)
+
+
+def runs(start: int, n: int, low: int, high: int, total: int, length: int, inner: Iterable[tuple[int, int, int, int]] = ()) -> list[tuple[int, int, int]]:
+    """(place, length, position) of n units of a queue, through the levels below it and its own."""
+    out = [(0, n, start)]
     for level in [*inner, (low, high, total, length)]:
-        runs = [(at + a, k, p) for at, m, q in runs for a, k, p in _runs(q, m, *level)]
+        out = [(at + a, k, p) for at, m, q in out for a, k, p in _runs(q, m, *level)]
+    return out
+
+
+def cut(placed: Iterable[tuple[int, int, int]], total: int, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(place, length, sequence, offset) of runs (place, length, position) in a stream of `total` tokens."""
     last = total // length  # the number of full windows
     cuts, at = [(0, last * length, length)], last * length
     for bit in range(length.bit_length() - 1, -1, -1):
         if total % length >> bit & 1:
             cuts.append((at, at + (1 << bit), 1 << bit))
             at += 1 << bit
-    for at, k, p in runs:
+    for at, k, p in placed:
         done = 0
         while done < k:
             c = next(i for i, (_, e, _) in enumerate(cuts) if p + done < e)
@@ -161,6 +181,29 @@ def pieces(start: int, n: int, low: int, high: int, total: int, length: int, inn
             done += take
 
 
+def in_phase(a: int, b: int, begin: int, unit: int, base: int, own: tuple[int, int, int, int], inner: Iterable[tuple[int, int, int, int]], origin: int) -> Iterator[tuple[int, int, int]]:
+    """(place, length, position in the whole stream) of a queue's tokens [a, b) that lie in a phase which takes the queue from token `begin` on in turns of `unit`."""
+    first, stop = (a - begin) // unit, -(-(b - begin) // unit)
+    for at, k, p in runs(first, stop - first, *own, inner):
+        low, high = begin + (first + at) * unit, begin + (first + at + k) * unit
+        x, y = max(a, low), min(b, high)
+        yield x - origin, y - x, base + p * unit + x - low
+
+
+def phases(own: dict, rest: int, weights: dict, quantum: int) -> list[tuple[int, int]]:
+    """The ends of the phases, in order, as fractions (quanta, parts): virtual times at which a queue of `own` (tokens of each weighted source), or the
+    group of all other sources with `rest` quanta, is empty. A queue sends `parts` quanta in a unit of that time."""
+    parts = weight_parts(weights)
+    ends = {(own[s] // quantum, parts[s]) for s in own if parts[s] and own[s] >= quantum}
+    if rest:
+        ends.add((rest, PARTS - sum(parts.values())) if PARTS > sum(parts.values()) else (rest, 1))
+    return sorted(ends, key=lambda x: x[0] / x[1])
+
+
+def weight_parts(weights: dict) -> dict:
+    return {s: round(w * PARTS) for s, w in weights.items()}
+
+
 def chains(sums: dict[int, int], length: int) -> dict[int, tuple[int, int, list[tuple[int, int, int, int]]]]:
     """For each level of sources its (tokens of it and of deeper ones, window) and the levels above, next one first, in the form of pieces().
 
@@ -177,39 +220,94 @@ def chains(sums: dict[int, int], length: int) -> dict[int, tuple[int, int, list[
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", source: str = "source", length: int = LENGTH, end: int | None = END) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", source: str = "source", length: int = LENGTH, end: int | None = END, quantum: int = 1, weights: dict | None = None) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source) for each piece; each token lies in exactly one piece.
 
-    Windows take all sources, null among them, in proportion to their tokens, so all queues end together. A null or empty text has the end
-    token only (no piece where `end` is None); rows that repeat an id are packed each; extra columns are ignored; an empty table gives an empty result.
+    quantum: tokens of a turn, a divisor of length; pieces are about that long. weights: target shares of tokens by source (null is a source too), together
+    1 at most; the other sources share what is left in proportion to their tokens, and without weights so do all, so that all queues end together. A
+    weight of 0 puts a source behind all others.
+
+    A null or empty text has the end token only (no piece where `end` is None); a very long one fills as many pieces as it needs; rows that repeat an id are
+    packed each; extra columns, also of the result's names, are ignored; an empty table gives an empty result. More than MAX_SOURCES sources raise an error.
     """
+    weights = dict(weights or {})
+    if length % quantum or min(weights.values(), default=0) < 0 or sum(weight_parts(weights).values()) > PARTS:
+        raise ValueError("quantum must divide length, and weights be shares that sum to 1 at most")
     toks = write_table(_tokens(docs, tokenizer, id_col, text, source, end), "tokens")
     per_part = toks.groupBy("source", "part").agg(F.sum("n").alias("m"))
-    sources = write_table(per_part.groupBy("source").agg(F.sum("m").alias("own")), "sources")  # one row a source
-    # level: the least k with own * length * 2 ** k >= total, the bit length of a quotient
-    total = F.sum("own").over(Window.partitionBy())
-    ratio = F.expr(f"(total - 1) div (own * {length})")
-    ranked = sources.where("own > 0").withColumn("total", total).withColumn("level", F.when(ratio > 0, F.length(F.bin(ratio))).otherwise(0))
-    high = F.sum("own").over(Window.partitionBy("level").orderBy(F.col("source").isNull(), "source"))
-    shares = write_table(ranked.withColumn("high", high).select(F.col("source").alias("s"), (F.col("high") - F.col("own")).alias("low"), "high", "level", "total"), "shares")
-    levels = chains({r.level: r.own for r in shares.groupBy("level").agg(F.sum(F.col("high") - F.col("low")).alias("own")).collect()}, length)  # 64 rows at most
+    sources = write_table(per_part.groupBy("source").agg(F.sum("m").alias("own")).where("own > 0"), "sources")  # one row a source
+    if sources.count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    listed = F.lit(False)
+    for x in weights:
+        listed = listed | F.col("source").eqNullSafe(F.lit(x))
+    own = {r.source: r.own for r in sources.where(listed).collect()}  # as many as there are weights
+    rest, tokens = sources.agg(F.coalesce(F.sum(F.when(~listed, F.floor(F.col("own") / F.lit(quantum)))), F.lit(0)).cast("long"), F.coalesce(F.sum("own"), F.lit(0))).first()
+    parts = weight_parts(weights)
+    ends = phases(own, rest, weights, quantum)
+    turns = len(ends)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(source, phase, unit, from, n): the part of a source's queue that each phase takes, in units."""
+        for b in batches:
+            out = []
+            for i, (name, size) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                whole, at = size // quantum, 0
+                for j, (n, d) in enumerate(ends):
+                    if name in parts:
+                        upto = whole if parts[name] and whole * d <= n * parts[name] else n * parts[name] // d
+                    else:  # of the group's quanta the same share for each
+                        group = PARTS - sum(parts.values()) or 1
+                        upto = min(whole, n * group * whole // (d * rest)) if rest else whole
+                    if upto > at:
+                        out.append((i, j, quantum, at * quantum, upto - at))
+                        at = upto
+                if whole > at:  # without a weight
+                    out.append((i, turns, quantum, at * quantum, whole - at))
+                if size % quantum:
+                    out.append((i, turns + 1, 1, whole * quantum, size % quantum))
+            cols = np.array(out, np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[:, 0])), *[pa.array(cols[:, j]) for j in range(1, 5)]], names=["s", "phase", "unit", "begin", "units"])
+
+    kind = dict(sources.dtypes)["source"]
+    queues = write_table(sources.select("source", "own").mapInArrow(split, f"s {kind}, phase long, unit long, begin long, units long"), "queues")
+    # level: the least k with units * window * 2 ** k >= total, the bit length of a quotient
+    ratio = F.expr(f"(total - 1) div (units * ({length} div unit))")
+    ranked = queues.withColumn("total", F.sum("units").over(Window.partitionBy("phase"))).withColumn("level", F.when(ratio > 0, F.length(F.bin(ratio))).otherwise(0))
+    high = F.sum("units").over(Window.partitionBy("phase", "level").orderBy(F.col("s").isNull(), "s"))
+    shares = write_table(ranked.withColumn("high", high).withColumn("low", F.col("high") - F.col("units")), "shares")
+    sums: dict[int, dict[int, int]] = {}
+    unit_of: dict[int, int] = {}
+    for r in shares.groupBy("phase", "unit", "level").agg(F.sum("units").alias("units")).collect():  # 64 rows a phase at most
+        sums.setdefault(r.phase, {})[r.level] = r.units
+        unit_of[r.phase] = r.unit
+    levels, base, at = {}, {}, 0
+    for j in sorted(sums):
+        levels[j], base[j] = chains(sums[j], length // unit_of[j]), at
+        at += sum(sums[j].values()) * unit_of[j]
+    entry = F.struct("begin", "phase", "unit", "units", "low", "high", "level", "total")
+    plan = shares.groupBy("s").agg(F.sort_array(F.collect_list(entry)).alias("plan"))  # a few rows a source: one a phase
     before = F.sum("m").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = per_part.withColumn("base", F.coalesce(before, F.lit(0))).join(shares, F.col("source").eqNullSafe(F.col("s")))
-    parts = write_table(parts.select(F.col("s").alias("ps"), F.col("part").alias("pp"), "base", "low", "high", "level", "total"), "parts")
-    rows = toks.join(parts, (F.col("part") == F.col("pp")) & F.col("source").eqNullSafe(F.col("ps")))
-    rows = rows.select("id", "source", (F.col("base") + F.col("start")).alias("start"), "n", "ids", "width", "low", "high", "level", "total")
+    placed = per_part.withColumn("base", F.coalesce(before, F.lit(0))).join(plan, F.col("source").eqNullSafe(F.col("s")))
+    placed = write_table(placed.select(F.col("s").alias("ps"), F.col("part").alias("pp"), "base", "plan"), "parts")
+    rows = toks.join(placed, (F.col("part") == F.col("pp")) & F.col("source").eqNullSafe(F.col("ps")))
+    rows = rows.select("id", "source", (F.col("base") + F.col("start")).alias("start"), "n", "ids", "width", "plan")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols, row = [b.column(i).to_pylist() for i in range(2, 10)], []
-            of, out = [], []
-            for i, (start, n, ids, width, low, high, level, total) in enumerate(zip(*cols)):
-                ids = np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
-                queue, window, above = levels[level]
-                *inner, top = (low, high, queue, window), *above
-                if top[3] != length:  # no source is of level 0
-                    inner, top = [*inner, top], (0, total, total, length)
-                for at, k, seq, offset in pieces(start, n, *top, inner):
+            cols, of, out = [b.column(i).to_pylist() for i in range(2, 6)], [], []
+            for i, (start, n, ids, width, entries) in enumerate(zip(*cols, b.column(6).to_pylist())):
+                ids, found = np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes(), []
+                for e in entries:
+                    a, z = max(start, e["begin"]), min(start + n, e["begin"] + e["units"] * e["unit"])
+                    if a < z:
+                        window = length // e["unit"]
+                        queue, span, above = levels[e["phase"]][e["level"]]
+                        *inner, top = (e["low"], e["high"], queue, span), *above
+                        if top[3] != window:  # no source is of level 0
+                            inner, top = [*inner, top], (0, e["total"], e["total"], window)
+                        found += in_phase(a, z, e["begin"], e["unit"], base[e["phase"]], top, inner, start)
+                for at, k, seq, offset in cut(found, tokens, length):
                     of.append(i)
                     out.append((at, k, zlib.crc32(ids[4 * at : 4 * (at + k)]), n, seq, offset))
             data = np.array(out, np.int64).reshape(-1, 6)

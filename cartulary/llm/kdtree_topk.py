@@ -20,6 +20,8 @@ from .vectors import BLOCK_ROWS, SHARD_ROWS, in_blocks, prepared, ranked, stack
 K = 5
 EVERY = 50
 LEAF = 128
+#: The range of a long.
+LEAST, MOST = -(2**63), 2**63 - 1
 SCHEMA = "query_id long, vec_id long, score long"
 
 
@@ -51,11 +53,20 @@ class KDTree:
         return np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
 
 
-def best_first(tree: KDTree, ids: np.ndarray, q: np.ndarray, bound: np.ndarray, own: int, k: int, kth: float) -> list[tuple[float, int]]:
-    """The k best (score, id) with a score of at least kth, ties to the smaller id; ids are in the tree's order."""
+def loose_bounds(tree: KDTree, q: np.ndarray) -> np.ndarray:
+    """Bounds that rounding cannot make too small, for components of any size."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        products = np.where(q > 0, q * tree.high, np.where(q < 0, q * tree.low, 0.0))
+        bound = products.sum(1) + np.abs(products).sum(1) * 1e-9 + 1
+    return np.where(np.isnan(bound), np.inf, bound)
+
+
+def best_first(tree: KDTree, ids: np.ndarray, q: np.ndarray, bound: np.ndarray, own: int, k: int, kth: float, exact: list[list[int]] | None = None) -> list[tuple[float, int]]:
+    """The k best (score, id) with a score of at least kth, ties to the smaller id; ids are in the tree's order. exact: the points as whole numbers."""
+    whole = [int(v) for v in q.tolist()] if exact is not None else []
     best: list[tuple[float, int]] = []  # a heap of (score, -id): its first is the kth
     heap = [(-bound[0], 0)]
-    while heap and -heap[0][0] >= kth:
+    while heap and -heap[0][0] >= kth:  # nothing beyond the bound can be among the best
         _, node = heapq.heappop(heap)
         a, b = tree.children[node]
         if a >= 0:
@@ -64,9 +75,14 @@ def best_first(tree: KDTree, ids: np.ndarray, q: np.ndarray, bound: np.ndarray,
                     heapq.heappush(heap, (-bound[c], c))
             continue
         start, stop = tree.span[node]
-        score = tree.points[start:stop] @ q
-        for i in np.flatnonzero(score >= kth).tolist():
-            item = (float(score[i]), -int(ids[start + i]))
+        if exact is None:
+            score = tree.points[start:stop] @ q
+            near = np.flatnonzero(score >= kth).tolist()
+        else:
+            score = [sum(map(int.__mul__, p, whole)) for p in exact[start:stop]]
+            near = [i for i, v in enumerate(score) if v >= kth]
+        for i in near:
+            item = (float(score[i]) if exact is None else score[i], -int(ids[start + i]))
             if -item[1] == own:
                 continue
             if len(best) < k:
@@ -82,8 +98,9 @@ def search(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
     """(query_id, rank, vec_id, score): the k highest integer inner products of floor(scale * x) for each row whose id is divisible by `every`.
 
     Vectors that are null or hold null or non-finite components take no part, nor do rows without an id; zero and empty vectors do. Rows that repeat an
-    id count once, with the greatest vector; shorter vectors are padded with zeros. Scores must stay under 2**53, so that doubles hold them
-    exactly; larger ones raise an error. Ties go to the smaller id. Extra columns are ignored.
+    id count once, with the greatest vector; shorter vectors are padded with zeros. Very large components are exact as well: where a score could pass
+    2**53 the boxes are bounded with a margin for rounding and the points are scored with whole numbers; a score beyond a long is given as
+    the nearest long. Ties go to the smaller id. Extra columns, also of the result's names, are ignored; an empty table gives an empty result.
     """
     index, queries, shards, blocks, dim = prepared(table, id_col, vector, every, True, shard_rows, block_rows)
 
@@ -91,13 +108,18 @@ def search(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
         ids, qids, out = rows["id"].to_numpy(), asked["id"].to_numpy(), []
         if len(ids) and len(qids):
             x, q = np.floor(scale * stack(rows["v"], dim)), np.floor(scale * stack(asked["v"], dim))
-            if np.linalg.norm(x, axis=1).max() * np.linalg.norm(q, axis=1).max() >= 2.0**53:
-                raise OverflowError("integer inner products of 2**53 or more")
             tree = KDTree(x, leaf)
             ids, bounds = ids[tree.order], tree.bounds(q)
+            # plain doubles are exact where no sum of products can pass 2**53
+            with np.errstate(over="ignore", invalid="ignore"):
+                sure = np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(1, dim) < 2.0**53
+            exact = None if sure else [[int(v) for v in row] for row in tree.points.tolist()]
             for j, kth in enumerate(asked["kth"].to_pylist()):
-                for s, i in best_first(tree, ids, q[j], bounds[j], int(qids[j]), k, -np.inf if kth is None else kth):
-                    out.append((int(qids[j]), i, int(s)))
+                if sure:
+                    best = best_first(tree, ids, q[j], bounds[j], int(qids[j]), k, -np.inf if kth is None else kth)
+                else:
+                    best = best_first(tree, ids, q[j], loose_bounds(tree, q[j]), int(qids[j]), k, -np.inf if kth is None else kth, exact)
+                out += [(int(qids[j]), i, max(LEAST, min(MOST, int(s)))) for s, i in best]
         cols = list(zip(*out)) or [[], [], []]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols)})
 

@@ -19,9 +19,11 @@ from pyspark.sql import types as T
 from .common import arrow_batches, write_table
 
 ORDER = 4
-#: The classifier is fitted on at most this many labelled documents of each language, chosen by a hash of the id; documents up to MAX_CHARS come first.
+#: The classifier is fitted on at most this many labelled documents of each language, chosen by a hash of id and text, and of those on the first ones
+#: by that hash up to TRAIN_BYTES bytes (the first one whole). Labels beyond the LANGS most frequent ones are not learned.
 DOCS_PER_LANG = 300
-MAX_CHARS = 20_000
+TRAIN_BYTES = 8 << 20
+LANGS = 500
 #: Bytes scored at once; a longer text is scored in pieces, which changes nothing as contexts overlap.
 PIECE = 1 << 20
 UND = "und"
@@ -168,28 +170,36 @@ def _score(model: Model, pieces: list[tuple[int, bytes]], out: np.ndarray) -> No
     np.add.at(out, [i for i, _ in pieces], sums)
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG, max_chars: int = MAX_CHARS) -> dict[str, list[bytes]]:
-    """The bounded training sample: for each non-null label up to docs_per_lang whole non-empty texts."""
-    keyed = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), (F.length(text) > max_chars).alias("long"), F.xxhash64(F.lit(7), F.col(id_col)).alias("h"), F.col(id_col).alias("id"))
+def sample(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG, train_bytes: int = TRAIN_BYTES, langs: int = LANGS) -> dict[str, list[bytes]]:
+    """The bounded training sample: for each of the `langs` most frequent non-null labels up to docs_per_lang whole non-empty texts, the first by hash."""
+    told = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0))
+    key = F.xxhash64(F.lit(7), F.col(id_col), F.crc32(F.col(text).cast("binary")))
+    keyed = told.select(F.col(lang).alias("lang"), key.alias("h"), F.octet_length(text).cast("long").alias("n"))
     # counts of 256 ranges of the hash tell which ranges hold the first texts, so only these are ranked by language
     keyed = write_table(keyed.withColumn("range", F.shiftright("h", 56)), "lang_keys")
-    upto = F.sum("count").over(Window.partitionBy("lang").orderBy("long", "range"))
-    ranges = keyed.groupBy("lang", "long", "range").count().where("lang is not null").withColumn("upto", upto).where(F.col("upto") - F.col("count") < docs_per_lang)
-    near = keyed.join(ranges.select("lang", "long", "range"), ["lang", "long", "range"], "left_semi")
-    best = Window.partitionBy("lang").orderBy("long", "h", "id")
-    chosen = near.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= docs_per_lang).select("lang", "id").distinct()
-    chosen = chosen.where(F.col("id").isNotNull()).collect()  # at most docs_per_lang ids a language
-    by: dict = {r.id: r.lang for r in chosen}
-    out: dict[str, list[bytes]] = {}
-    if by:
-        found = docs.where(F.col(id_col).isin(list(by)) & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(id_col).alias("id"))
-        for r in sorted(found.dropDuplicates(["id", "lang"]).collect(), key=lambda r: (r.lang, str(r.id))):
-            out.setdefault(r.lang, []).append(r.text.encode())
-    return out
-
-
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs and lang_pred, lang_score (the winner's share of the languages' likelihoods, uniform prior), lang_bits (its bits for each byte).
+    counts = write_table(keyed.groupBy("lang", "range").count(), "lang_counts")
+    named = counts.groupBy("lang").agg(F.sum("count").alias("all")).orderBy(F.desc("all"), "lang").limit(langs)
+    upto = F.sum("count").over(Window.partitionBy("lang").orderBy("range"))
+    ranges = counts.withColumn("upto", upto).where(F.col("upto") - F.col("count") < docs_per_lang).join(F.broadcast(named.select("lang")), "lang", "left_semi")
+    near = keyed.join(F.broadcast(ranges.select("lang", "range")), ["lang", "range"], "left_semi")  # 256 rows a language at most
+    # rows of the same text and id count once
+    best = Window.partitionBy("lang").orderBy("h")
+    chosen = near.groupBy("lang", "h").agg(F.max("n").alias("n")).withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= docs_per_lang)
+    chosen = chosen.withColumn("upto", F.sum("n").over(best)).where((F.col("rn") == 1) | (F.col("upto") <= train_bytes)).select("lang", "h")
+    chosen = write_table(chosen, "lang_sample")  # langs * docs_per_lang rows at most
+    found = told.select(F.col(lang).alias("lang"), F.col(text).alias("text"), key.alias("h")).join(F.broadcast(chosen), ["lang", "h"], "left_semi")
+    out: dict[str, dict[int, bytes]] = {}
+    for r in found.groupBy("lang", "h").agg(F.min("text").alias("text")).collect():  # train_bytes a language, or one text
+        out.setdefault(r.lang, {})[r.h] = r.text.encode()
+    return {x: [t for _, t in sorted(texts.items())] for x, texts in sorted(out.items())}
+
+
+#: Names of the columns that predict() adds.
+PREDICTED = ("lang_pred", "lang_score", "lang_bits")
+
+
+def predict(docs: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str, str] = PREDICTED) -> DataFrame:
+    """docs and columns `names`, by default lang_pred, lang_score (the winner's share of the languages' likelihoods, uniform prior), lang_bits (its bits for each byte).
 
     Only the whole text is read. A text that is null or has no letter, and any text where nothing was learned, gives `und`, 0 and null.
     Ties go to the first language in code point order.
@@ -213,9 +223,9 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                 share = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
                 for i, w, s, x, t in zip(ok, best.tolist(), share.tolist(), bits.min(1).tolist(), raw):
                     pred[i], score[i], mean[i] = m.langs[w], s, x / len(t)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mean, pa.float64())], names=[*b.schema.names, "lang_pred", "lang_score", "lang_bits"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mean, pa.float64())], names=[*b.schema.names, *names])
 
-    more = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_bits", T.DoubleType())]
+    more = [T.StructField(c, k) for c, k in zip(names, (T.StringType(), T.DoubleType(), T.DoubleType()))]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
 
 
@@ -230,7 +240,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER) -> DataFrame:
-    """(id, held_out, lang_pred, score) for each row of docs; repeated rows stay repeated, an empty table gives an empty result."""
+    """(id, held_out, lang_pred, score) for each row of docs.
+
+    A null id is not held out; a null text, or one without a letter, is `und`; very long texts are scored whole, in pieces. Of several languages that
+    code a text alike the first by code point wins. Repeated rows stay repeated; extra columns, also of the result's names, are ignored; an empty table
+    gives an empty result.
+    """
     model = fit(docs, id_col, text, lang, order)
     return predict(docs.select(id_col, text), model, text).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_bits").alias("bits_per_byte"))
 
@@ -240,6 +255,7 @@ MIN_SCORE, MAX_BITS = 0.5, 8.0
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of docs with a recognised language; the columns are those of docs."""
+    """The rows of docs with a recognised language; the columns are those of docs, whatever their names."""
     cols = docs.columns
-    return predict(docs, fit(docs, id_col, text, lang), text).where((F.col("lang_pred") != UND) & (F.col("lang_score") >= MIN_SCORE) & (F.col("lang_bits") <= MAX_BITS)).select(*cols)
+    pred, score, bits = names = tuple(f"__ppm_{c}" for c in PREDICTED)
+    return predict(docs, fit(docs, id_col, text, lang), text, names).where((F.col(pred) != UND) & (F.col(score) >= MIN_SCORE) & (F.col(bits) <= MAX_BITS)).select(*cols)

@@ -65,7 +65,7 @@ def op9_hypergeometric_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drr_pack.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
+    return drr_pack.pack(_read(spark, sf_dir, "documents"), tokenizer_path(), quantum=drr_pack.QUANTUM)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

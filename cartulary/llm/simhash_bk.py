@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, components, write_table
+from .common import arrow_batches, components, join_hot, write_table
 
 SHINGLE = 4
 RADIUS = 4
@@ -184,24 +184,26 @@ def links(fps: DataFrame, radius: int = RADIUS, agree: int | None = None, shard_
 
 
 def clusters(hashed: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, agree: int | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(fp, component_id) for each distinct fp of a table with `fp` and id_col; component_id is the smallest id reachable over links, null where none has an id."""
-    fps = write_table(hashed.groupBy("fp").agg(F.min(id_col).alias("least_id")), "fps")
+    """(fp, component_id, rows) for each distinct fp of a table with `fp` and id_col; rows is the number of its rows, component_id is the smallest id reachable over links, null where none has an id."""
+    fps = write_table(hashed.groupBy("fp").agg(F.min(id_col).alias("least_id"), F.count(F.lit(1)).alias("rows")), "fps")
     comp = write_table(components(links(fps, radius, agree, shard_rows)), "comp")
     named = write_table(comp.join(fps, comp.node == fps.fp).select("fp", "comp", "least_id"), "named")
     least = write_table(named.groupBy("comp").agg(F.min("least_id").alias("component_id")), "least")
     linked = write_table(named.join(least, "comp").select("fp", "component_id"), "linked")
-    return fps.join(linked.withColumnRenamed("fp", "lfp"), F.col("fp") == F.col("lfp"), "left").select("fp", F.when(F.col("lfp").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return fps.join(linked.withColumnRenamed("fp", "lfp"), F.col("fp") == F.col("lfp"), "left").select("fp", F.when(F.col("lfp").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"), "rows")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, agree: int | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(id, fp, component_id) for each row: rows link where their fingerprints differ in at most `radius` bits.
 
-    Null and empty texts have fingerprint 0 and link like any other; rows with a null id keep their row and bridge links; repeated rows stay
-    repeated; extra columns are ignored; an empty table gives an empty result.
+    Null and empty texts have fingerprint 0 and link like any other; very long texts are hashed whole; rows with a null id keep their row and bridge
+    links, and a component without any id has a null one; repeated rows stay repeated; extra columns, also of the result's names, are ignored; an
+    empty table gives an empty result.
     """
     hashed = write_table(with_fingerprint(docs.select(F.col(id_col), F.col(text)), text, "fp", shingle).select(id_col, "fp"), "hashed")
     members = write_table(clusters(hashed, id_col, radius, agree, shard_rows), "members")
-    return hashed.join(members, "fp").select(id_col, "fp", "component_id")
+    members = members.withColumnRenamed("fp", "__fp")
+    return join_hot(hashed, members, [("fp", "__fp")], "rows", hashed.count()).select(id_col, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, agree: int | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, new_path, write_table
+from .common import arrow_batches, join_hot, new_path, write_table
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 256 << 20
@@ -137,9 +137,12 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url: str = "ur
     digest = sha1_base32(F.col("payload"))
     same = rows.where(F.octet_length("payload") >= min_bytes).select("id", digest.alias("d"), F.octet_length("payload").alias("n"))
     same = same.groupBy("d", "n").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1 and first is not null")
-    same = write_table(same.select("d", "n", "first"), "same")
-    rows = rows.withColumn("digest", digest)
-    rows = rows.join(same, (F.col("digest") == F.col("d")) & (F.octet_length("payload") == F.col("n")), "left")
+    same = write_table(same.select("d", "n", "first", "m"), "same")
+    rows = rows.withColumn("digest", digest).withColumn("bytes", F.octet_length("payload"))
+    if not same.isEmpty():  # rows of very frequent payloads, the empty one among them, are not shuffled
+        rows = join_hot(rows, same, [("digest", "d"), ("bytes", "n")], "m", same.agg(F.sum("m")).first()[0], "left", None)
+    else:
+        rows = rows.withColumn("first", F.lit(None).cast(dict(rows.dtypes)["id"]))
     rows = rows.select("id", "url", "payload", "digest", F.when(F.col("id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")).cast("string").alias("refers"))
     kind = dict(rows.dtypes)["id"]
 
@@ -221,7 +224,7 @@ def read(index: DataFrame, id_col: str = "page_id", with_payload: bool = False)
 def archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0) -> DataFrame:
     """Writes all pages to bundles (in the shared folder, unless another is named), and reads them back.
 
-    Nulls: an html counts as empty, a url gives no target, an id gives a record without one. Extra columns are ignored; an empty table gives an
-    empty result.
+    Nulls: an html counts as empty, a url gives no target, an id gives a record without one. A very long page is a record, and a frame, of its own
+    size. Repeated rows are written each. Extra columns, also of the result's names, are ignored; an empty table gives an empty result.
     """
     return read(write(pages, folder or new_path(pages.sparkSession, "warc"), id_col, url, html, min_bytes), id_col)

@@ -76,6 +76,22 @@ def test_kdtree_is_exact(spark, small, shard_rows):
     assert kdtree_topk.search(odd_vectors(spark).limit(0)).count() == 0
 
 
+def test_kdtree_large_components(spark):
+    rows = [(0, [1e20, 1.0, -3.0]), (20, [1e20, 2.0, -3.0]), (3, [-1e20, 7.0, 1.0]), (4, [9e15, 1.5, 0.1]), (5, [9e15, 1.25, 0.1]), (40, [3e7, 2.0, 1.0]), (7, [1e300, -1e300, 1e300]), (8, [0.5, 0.25, 0.0])]
+    rows += [(100 + i, [1e9 + i / 64, 1e9, float(i)]) for i in range(30)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in kdtree_topk.search(table, every=20, shard_rows=9, leaf=2).collect()}
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    for q in (0, 20, 40, 100, 120):
+        top = sorted((-sum(a * b for a, b in zip(whole[q], whole[c])), c) for c in whole if c != q)[:5]
+        fits = lambda s: max(-(2**63), min(2**63 - 1, s))
+        want = [(c, fits(-s)) for s, c in top]
+        if all(abs(s) < 2**63 for _, s in want):
+            assert [got[q, n + 1] for n in range(5)] == want
+        else:
+            assert sorted(got[q, n + 1][1] for n in range(5)) == sorted(s for _, s in want)
+
+
 def test_permutation_index(spark):
     table = odd_vectors(spark)
     got = permutation_ann.search(table, k=8, share=1.0, prefix=1024, front=1024, shard_rows=40, block_rows=3).collect()
@@ -127,6 +143,17 @@ def test_shuffle_odd_rows(spark):
     assert hyper_shuffle.shuffle(docs.limit(0)).count() == 0
 
 
+def test_shuffle_spreads_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(hyper_shuffle, "NUMBERED", 700)
+    docs = spark.range(6000).selectExpr("case when id % 3 < 2 then 7 else id end doc_id", "'same' text")
+    got = hyper_shuffle.shuffle(docs, shards=6).collect()
+    assert Counter(r.doc_id for r in got)[7] == 4000 and len({(r.shard, r.slot) for r in got}) == 6000
+    per = Counter(r.shard for r in got if r.doc_id == 7)
+    assert all(560 < per[s] < 780 for s in range(6))  # 667 each, and not next to each other
+    runs = sorted((r.shard, r.slot, r.doc_id == 7) for r in got)
+    assert sum(a[2] != b[2] for a, b in zip(runs, runs[1:])) > 2000
+
+
 def test_hypergeometric_draws():
     rng, n = random.Random(1), 20_000
     for good, bad, draws in ((5, 7, 6), (400, 300, 50), (3, 1000, 20), (10**10, 10**10, 10**6)):

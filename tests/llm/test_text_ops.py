@@ -160,6 +160,13 @@ def test_langid_odd_rows(spark):
     kept = ppm_langid.keep_known(docs)
     assert kept.columns == docs.columns
     assert ppm_langid.identify(docs.limit(0)).count() == 0
+    clash = docs.selectExpr("*", "1 lang_pred", "2 lang_score", "3 lang_bits", "4 held_out", "5 h", "6 score")
+    assert ppm_langid.keep_known(clash).columns == clash.columns and ppm_langid.keep_known(clash).count() == kept.count()
+    assert ppm_langid.identify(clash).count() == docs.count()
+    # several texts of one id, and long ones, are sampled by hash alone; reruns agree
+    twice = docs.unionByName(docs.selectExpr("doc_id", "concat(text, ' more') text", "lang", "source", "n_chars", "fp", "start", "size"))
+    assert ppm_langid.sample(twice) == ppm_langid.sample(twice.repartition(3)) and len(ppm_langid.sample(twice)["en"]) == 10
+    assert [len(t) for t in ppm_langid.sample(twice, train_bytes=1).values()] == [1] * 3 and len(ppm_langid.sample(twice, langs=1)) == 1
     unlabelled = ppm_langid.identify(docs.drop("lang").selectExpr("*", "cast(null as string) lang"))
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
 
@@ -261,10 +268,57 @@ def test_packing_round_trip_and_shares(spark):
         assert all(abs(got[k] - 2048 * v / total) < 2 for k, v in own.items())
 
 
+def lag(rows, weights, upto):
+    """The largest distance of any source from its share at the end of any of the first `upto` sequences."""
+    sent, worst, total = defaultdict(int), 0, 0
+    by = defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append(r)
+    for s in range(upto):
+        for r in by[s]:
+            sent[r.source] += r.length
+            total += r.length
+        worst = max([worst, *(abs(sent[k] - w * total) for k, w in weights.items())])
+    return worst
+
+
+def test_packing_in_quanta(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = drr_pack.pack(docs, tokenizer_path(), quantum=256).collect()
+    seqs = check_packing(rows, [(r.doc_id, r.text) for r in docs.collect()])
+    own = defaultdict(int)
+    for r in rows:
+        own[r.source] += r.length
+    total = sum(own.values())
+    assert lag(rows, {k: v / total for k, v in own.items()}, len(seqs) - 12) < 5 * 256
+    # context is kept: a piece ends with its document, its turn or its sequence
+    assert all((r.start + r.length == r.doc_tokens or (r.offset + r.length) % 256 == 0) for r in rows if r.sequence_id < len(seqs) * 0.9)
+    assert len(rows) < 1.2 * (len(own) * 256 + total / 256 + docs.count())
+
+
+@pytest.mark.parametrize("quantum", [1, 256])
+def test_packing_follows_weights(spark, quantum):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    names = [r.source for r in docs.groupBy("source").count().orderBy("source").collect()]
+    weights = {names[0]: 0.25, names[1]: 0.01, names[2]: 0.0}
+    rows = drr_pack.pack(docs, tokenizer_path(), quantum=quantum, weights=weights).collect()
+    seqs = check_packing(rows, [(r.doc_id, r.text) for r in docs.collect()])
+    own = defaultdict(int)
+    for r in rows:
+        own[r.source] += r.length
+    assert lag(rows, weights, int(own[names[0]] / 0.25 / 2048) - 1) < 6 * quantum + 6  # as long as the first queue lasts
+    # then only what is less than a quantum is left of it; the source without a weight comes after all others
+    assert sum(r.length for r in rows if r.source == names[0] and r.sequence_id >= len(seqs) // 2) < quantum
+    assert sum(r.length for r in rows if r.source == names[2] and r.sequence_id < len(seqs) * 0.6) == 0
+    with pytest.raises(ValueError):
+        drr_pack.pack(docs, tokenizer_path(), weights={names[0]: 1.2})
+
+
 def test_packing_odd_rows(spark):
     docs = odd_docs(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
     check_packing(drr_pack.pack(docs, tokenizer_path()).collect(), [(r.doc_id, r.text) for r in docs.collect()])
-    assert drr_pack.pack(docs.limit(0), tokenizer_path()).count() == 0
+    check_packing(drr_pack.pack(docs, tokenizer_path(), quantum=256, weights={None: 0.5, "b": 0.5}).collect(), [(r.doc_id, r.text) for r in docs.collect()])
+    assert drr_pack.pack(docs.limit(0), tokenizer_path()).count() == 0 == drr_pack.pack(docs.limit(0), tokenizer_path(), quantum=256, weights={"a": 0.1}).count()
     assert drr_pack.pack(odd_docs(spark), tokenizer_path()).where("doc_id is null").agg({"length": "sum"}).first()[0] > 1
 
 
