@@ -18,6 +18,17 @@ TOKEN_PATTERNS = [
     r"[a-zñáéíóú0-9]+(?:-[a-zñáéíóú0-9]+)*",
 ]
 TOKENS = "(?i)" + "|".join(f"(?:{p})" for p in TOKEN_PATTERNS)
+# the same patterns with possessive quantifiers: no run of letters is tried in all its splits
+FAST_TOKENS = "(?iu)" + "|".join(
+    [
+        r"(?:[A-ZÑ]{2,}+[A-ZÑ0-9-]*+\s*+:\s*+\d++\s*+[-/]\s*+\d{2,4}+)",
+        r"(?:\d++\s*+/\s*+\d{2,4}+)",
+        r"(?:[A-ZÑ]{2,}+[A-ZÑ0-9]*+(?:-[A-ZÑ0-9]++)++)",
+        r"(?:[a-zñáéíóú0-9]++(?:-[a-zñáéíóú0-9]++)*+)",
+    ]
+)
+# between tokens that are folded in one go; no token holds it
+MARK = "\x01"
 # fixed value: headings without content
 NOISE = r"(?i)^(universidad nacional|rep[uú]blica argentina|p[aá]gina\s*\d|fecha\s*:|lugar de entrega\s*:|expediente\s*n?[°º]?\s*:|ap proveedor|\d+\s*/\s*\d+\s*$)"
 
@@ -27,11 +38,13 @@ def fold(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Comparable tokens; a token with / or : is followed by its parts."""
+    """Comparable tokens; a token with / or : is followed by its parts. All tokens of a text are folded at once; parts are looked for only where there are any."""
+    found = F.array_join(F.regexp_extract_all(text, F.lit(FAST_TOKENS), F.lit(0)), MARK)
+    joined = F.regexp_replace(fold(found), r"[\s&&[^\x01]]+", "")
     ok = lambda t: (F.length(t) >= 2) & ~t.isin(STOP)
-    raw = F.transform(F.regexp_extract_all(text, F.lit(TOKENS.replace("(?i)", "(?iu)")), F.lit(0)), lambda x: F.regexp_replace(fold(x), r"\s+", ""))
+    plain = F.filter(F.split(joined, MARK), ok)
     parts = lambda t: F.when(t.rlike("[:/]"), F.concat(F.array(t), F.filter(F.split(t, "[:/]"), ok))).otherwise(F.array(t))
-    return F.flatten(F.transform(F.filter(raw, ok), parts))
+    return F.when(joined.rlike("[:/]"), F.flatten(F.transform(plain, parts))).otherwise(plain)
 
 
 def act_ids(text: Column) -> Column:
@@ -52,7 +65,7 @@ def mentions_strict(text: Column, pieces: Column, window: int = 40) -> Column:
     quoted = lambda p: F.concat(F.lit(r"\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     # one pass over the text: at a start of the first piece look ahead, and back to where another piece starts
     near = lambda p: F.concat(F.lit("(?:(?=.{0,%d}" % window), quoted(p), F.lit(")|(?<=(?="), quoted(p), F.lit(").{1,%d}))" % window))
-    pattern = F.concat(F.lit("(?s)(?="), quoted(F.get(pieces, F.lit(0))), F.lit(")"), F.array_join(F.transform(F.slice(pieces, 2, 1000), near), ""))
+    pattern = F.concat(F.lit("(?s)(?="), quoted(F.get(pieces, F.lit(0))), F.lit(")"), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), near), ""))
     return F.coalesce((F.size(pieces) > 0) & F.forall(pieces, lambda p: F.contains(text, p)) & F.regexp_like(text, pattern), F.lit(False))
 
 

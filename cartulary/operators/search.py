@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..streaming.collect import written
 from . import retrieval as I
 
 #: The unit of a bonus: what the first place of one list is worth.
@@ -67,13 +70,14 @@ def best(totals: DataFrame, k: int) -> DataFrame:
     return totals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def guaranteed(top: DataFrame, entities: DataFrame, chunks: DataFrame, scores: DataFrame, k: int) -> DataFrame:
-    """top (q, i, total, loose, rank); where no row of a query mentions its entity, the strict mention of the best score takes the last place, with w units."""
+def guaranteed(top: DataFrame, entities: DataFrame, chunks: DataFrame, scores: Callable[[DataFrame], DataFrame], k: int) -> DataFrame:
+    """top (q, i, total, loose, rank); `scores` gives the score of pairs (q, i). Where no row of a query mentions its entity, the strict mention of the best score takes the last place, with w units."""
     met = top.groupBy("q").agg(F.max("loose").alias("met"), F.max("rank").alias("last"))
     need = entities.join(met.where("not met"), "q").select("q", "pieces", "w", "last")
     kinds = need.select("pieces").distinct()
     strict = kinds.join(chunks.select("i", body().alias("said")), T.mentions_strict(F.col("said"), F.col("pieces"))).select("pieces", "i")
-    found = need.join(strict, "pieces").join(scores.select("q", "i", "score"), ["q", "i"])
+    found = need.join(strict, "pieces")
+    found = found.join(scores(found.select("q", "i")).select("q", "i", "score"), ["q", "i"])
     pick = Window.partitionBy("q").orderBy(F.desc("score"), "i")
     found = found.withColumn("rn", F.row_number().over(pick)).where("rn = 1")
     new = found.select("q", "i", (F.col("w") * F.lit(UNIT)).alias("total"), F.lit(True).alias("loose"), F.least(F.col("last") + 1, F.lit(k)).alias("rank"))
@@ -83,13 +87,16 @@ def guaranteed(top: DataFrame, entities: DataFrame, chunks: DataFrame, scores: D
 
 def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, acts: DataFrame, entities: DataFrame, k: int = 8, candidates: int = I.CANDIDATES) -> DataFrame:
     """(q, i, rank, total, loose) for queries (q, text, v, ids, codes): both rankings under the anchors, their fusion, the bonuses and the guarantee."""
-    anchors = anchored(chunks, queries)
-    cos = I.cosine(vectors, queries.select("q", "v"))
-    dense = I.top(restricted(cos, anchors), candidates)
+    anchors = written(anchored(chunks, queries), "anchors")
+    asked = queries.select("q", "v")
+    score = lambda pairs: I.cosine(vectors, asked, pairs)
+    # restricted queries meet their own rows only, the others all rows in blocks
+    free = asked.join(anchors.select("q").distinct(), "q", "left_anti")
+    dense = I.top(score(anchors), candidates).unionByName(I.knn(vectors, free, candidates))
     lexical = I.top(restricted(I.bm25(chunks, queries), anchors), candidates)
-    fused = I.fuse(dense, lexical, 2 * candidates).select("q", "i", "total")
+    fused = written(I.fuse(dense, lexical, 2 * candidates).select("q", "i", "total"), "fused")  # some rows a query
     totals = entity_bonus(act_bonus(fused, acts, chunks), entities, chunks)
-    top = guaranteed(best(totals, k), entities, chunks, cos, k)
+    top = guaranteed(written(best(totals, k), "best"), entities, chunks, score, k)
     return top.select("q", "i", "rank", F.round("total", 9).alias("total"), "loose")
 
 

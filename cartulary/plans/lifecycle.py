@@ -314,10 +314,10 @@ def _shape(c):
     return F.regexp_replace(F.trim(c), r"\s+", " ")
 
 
-@query(A + r"SELECT i, CASE WHEN length(t) <= 60 THEN t ELSE regexp_extract(substring(t, 1, 60), '^(.*)\s', 1) || '…' END AS short FROM (SELECT i, regexp_replace(trim(substring(text, 1, 200), ' '), '\s+', ' ', 'g') AS t FROM acts)")
+@query(A + r"SELECT i, CASE WHEN length(t) <= 60 THEN t ELSE regexp_extract(substring(t, 1, 60), '^(.*)\s', 1) || '…' END AS short FROM (SELECT i, regexp_replace(trim(text, ' '), '\s+', ' ', 'g') AS t FROM acts)")
 def str16_shorten(spark, d):
     t = F.col("t")
-    a = S.acts(spark, d).select("i", _shape(F.substring("text", 1, 200)).alias("t"))
+    a = S.acts(spark, d).select("i", _shape(F.col("text")).alias("t"))
     return a.select("i", F.when(F.length(t) <= 60, t).otherwise(F.concat(F.regexp_extract(F.substring(t, 1, 60), r"^(.*)\s", 1), F.lit("…"))).alias("short"))
 
 

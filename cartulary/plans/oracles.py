@@ -7,7 +7,7 @@ from ..functions.text import ACCENTED, PLAIN, STOP, TOKENS
 ACTS = r"""acts AS (
   SELECT doc_id AS i, doc_id::VARCHAR AS id_archivo, 'DISP-' || upper(source) AS code, (doc_id % 50 + 1)::VARCHAR || '/' || (2024 + doc_id % 3)::VARCHAR AS number, 2024 + doc_id % 3 AS year,
          DATE '2024-01-01' + (doc_id % 700)::INT AS act_date, strftime(DATE '2024-01-01' + (doc_id % 700)::INT, '%d/%m/%Y') AS fecha_acto, lang AS section,
-         CASE WHEN doc_id % 7 <> 0 THEN 'https://portal.example/' || doc_id::VARCHAR END AS url, ['alta', 'media', 'baja'][(doc_id % 3 + 1)::INT] AS confidence, substring(text, 1, 60) AS title, text
+         CASE WHEN doc_id % 7 <> 0 THEN 'https://portal.example/' || doc_id::VARCHAR END AS url, ['alta', 'media', 'baja'][(doc_id % 3 + 1)::INT] AS confidence, string_split(text, chr(10))[1] AS title, text
   FROM documents)"""
 LINES = r"""lines AS (
   SELECT doc_id, (p - 1)::INT AS ord, s[p] AS line, ['Visto', 'Considerando', 'Que sigue', 'Parte resolutiva', 'Artículo n', 'Firmas', 'PROGRAMA', 'ANEXO I'][((p - 1) % 8 + 1)::INT] AS heading
@@ -42,12 +42,12 @@ def kind(t: str, after: str = "false") -> str:
     )
 
 
-def bm25(k: int) -> str:
+def bm25(k: int, asked: str = "SELECT item_id AS q, text FROM benchmark") -> str:
     return f"""tok AS (SELECT doc_id AS i, {tokens("text")} AS t FROM documents),
 len AS (SELECT i, len(t) AS len FROM tok), st AS (SELECT count(*) AS n, avg(len) AS avg FROM len),
 post AS (SELECT token, i, count(*) AS tf FROM (SELECT i, unnest(t) AS token FROM tok) GROUP BY ALL),
 df AS (SELECT token, count(*) AS df FROM post GROUP BY token),
-qt AS (SELECT q, token, count(*) AS qtf FROM (SELECT item_id AS q, unnest({tokens("text")}) AS token FROM benchmark) GROUP BY ALL),
+qt AS (SELECT q, token, count(*) AS qtf FROM (SELECT q, unnest({tokens("text")}) AS token FROM ({asked})) GROUP BY ALL),
 sc AS (SELECT q, i, round(sum(qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg))), 6) AS score
   FROM qt JOIN df USING (token) JOIN post USING (token) JOIN len USING (i), st GROUP BY q, i),
 lex AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, i)::INT AS rank FROM sc QUALIFY rank <= {k})"""
@@ -59,9 +59,12 @@ METRICS = "count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0
 
 def oracle_sql() -> dict[str, str]:
     a, ln, m, c = f"WITH {ACTS}\n", f"WITH {LINES}\n", f"WITH {MESSAGES}\n", f"WITH {CATALOG}\n"
-    pieces = ["the", "that", "with"]
-    at = lambda p: f"list_filter(range(1, length(t) + 1), lambda x: substring(t, x, {len(p)}) = '{p}')"
-    near = " AND ".join(f"len(list_filter({at(p)}, lambda y: abs(y - o) <= 40)) > 0" for p in pieces[1:])
+    # places of a word: its first letters, which cannot overlap themselves, followed by the rest of it
+    def at(head: str, tail: str) -> str:
+        p = f"string_split(t, '{head}')"
+        return f"list_filter(list_transform(range(1, len({p})), lambda k: CASE WHEN prefix({p}[k + 1] || CASE WHEN k + 1 < len({p}) THEN '{head}' ELSE '' END, '{tail}') THEN list_sum(list_transform({p}[1:k], lambda x: length(x))) + {len(head)} * (k - 1) END), lambda z: z IS NOT NULL)"
+
+    near = " AND ".join(f"len(list_filter({p}, lambda y: abs(y - o) <= 40)) > 0" for p in ("b", "c"))
     chunk = "SELECT doc_id, len(s)::INT AS lines, list_max(list_transform(s, lambda x: length(x)))::INT AS longest, len(list_filter(s, lambda x: length(x) >= 80))::INT AS long_lines FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)"
     out = {
         "src12_html_paragraphs": r"""WITH h AS (SELECT page_id, replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</p>', chr(10) || chr(10), 'g'), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS h FROM pages),
@@ -72,8 +75,8 @@ def oracle_sql() -> dict[str, str]:
         "flt06_multi_get": a + "SELECT (p - 1)::INT AS pos, w AS want, number, code FROM (SELECT unnest([1, 2, 3, 4]) AS p, unnest([7, 3, 999999999, 11])::BIGINT AS w) LEFT JOIN acts ON w = i",
         "flt07_fragments_of": ln + "SELECT ord, line FROM lines WHERE doc_id = 5",
         "flt08_url_of": a + "SELECT number, arg_min(url, i) FILTER (url IS NOT NULL) AS url FROM acts GROUP BY number",
-        "flt10_mentions_strict": f"SELECT doc_id, {' AND '.join(f'contains(t, {p!r})' for p in pieces)} AND len(list_filter({at(pieces[0])}, lambda o: {near})) > 0 AS strict FROM (SELECT doc_id, {fold('text')} AS t FROM documents WHERE n_chars < 1500)",
-        "flt11_mentions_loose": f"SELECT doc_id, {' + '.join(f'contains(t, {p!r})::INT' for p in pieces)} >= 2 AS loose FROM (SELECT doc_id, {fold('text')} AS t FROM documents)",
+        "flt10_mentions_strict": f"SELECT doc_id, len(list_filter(a, lambda o: {near})) > 0 AS strict FROM (SELECT doc_id, {at('the', '')} AS a, {at('tha', 't')} AS b, {at('with', '')} AS c FROM (SELECT doc_id, {fold('text')} AS t FROM documents))",
+        "flt11_mentions_loose": f"SELECT doc_id, {' + '.join(f'contains(t, {p!r})::INT' for p in ('the', 'that', 'with'))} >= 2 AS loose FROM (SELECT doc_id, {fold('text')} AS t FROM documents)",
         "flt13_min_length": ln + "SELECT doc_id, count(*) AS parts FROM lines WHERE length(line) >= 80 GROUP BY doc_id",
         "flt14_tables": "SELECT doc_id FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: length(x) - length(replace(x, '|', '')) >= 2)) >= 3",
         "flt15_incomplete": a + "SELECT i, coalesce(trim(lower(url)), '') IN ('', 'unknown') AS no_url, coalesce(trim(lower(code)), '') IN ('', 'unknown') AS no_code FROM acts",
@@ -97,7 +100,7 @@ def oracle_sql() -> dict[str, str]:
         "agg05_ratings": m + "SELECT count(*) AS answers, count(*) FILTER (useful = 1) AS useful, count(*) FILTER (useful = 0) AS useless FROM messages WHERE role = 'assistant'",
         "agg06_usage": "SELECT count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY",
         "agg07_no_sources": m + "SELECT count(*) FILTER (coalesce(sources, '') IN ('', '[]')) AS n FROM messages WHERE role = 'assistant'",
-        "agg08_daily_series": "WITH p AS (SELECT ts::DATE AS d, count(*) AS n FROM events WHERE day(ts) % 3 <> 0 GROUP BY 1) SELECT u.day::DATE AS day, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series((SELECT min(d) FROM p)::TIMESTAMP, (SELECT max(d) FROM p)::TIMESTAMP, INTERVAL 1 DAY)) AS day) u LEFT JOIN p ON p.d = u.day::DATE",
+        "agg08_daily_series": "WITH p AS (SELECT ts::DATE AS d, count(*) AS n FROM events GROUP BY 1) SELECT u.day::DATE AS day, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series((SELECT min(d) FROM p)::TIMESTAMP, (SELECT max(d) FROM p)::TIMESTAMP, INTERVAL 1 DAY)) AS day) u LEFT JOIN p ON p.d = u.day::DATE",
         "agg09_most_cited": m + ", l AS (SELECT * FROM messages WHERE role = 'assistant' ORDER BY id DESC LIMIT 500), e AS (SELECT unnest(json_extract_string(sources, '$[*].cita')) AS cita FROM l) SELECT lower(trim(split_part(cita, '—', 1))) AS act, count(*) AS n FROM e GROUP BY 1 ORDER BY n DESC, act LIMIT 10",
         "agg10_catalog_state": c + "SELECT count(*) AS total, count(*) FILTER (downloaded) AS downloaded, count(*) FILTER (indexed) AS indexed, count(*) FILTER (NOT downloaded) AS pending, count(*) FILTER (downloaded AND NOT indexed) AS to_index, count(*) FILTER (url IS NULL) AS no_url FROM catalog",
         "agg14_chunkability": chunk,
@@ -127,7 +130,7 @@ def oracle_sql() -> dict[str, str]:
         "dat01_iso": a + "SELECT i, strftime(act_date, '%Y-%m-%d') AS iso FROM acts",
         "ret01_index": f"SELECT token, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({tokens('text')}) AS token FROM documents) GROUP BY token",
         "ret02_bm25": f"WITH {bm25(10)} SELECT q, i, score, rank FROM lex",
-        "ret04_knn": f"SELECT a.vec_id AS q, b.vec_id AS i, {COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id)::INT AS rank FROM embeddings a, embeddings b WHERE a.vec_id < 40 QUALIFY rank <= 10",
+        "ret04_knn": f"SELECT a.vec_id AS q, b.vec_id AS i, {COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id)::INT AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 QUALIFY rank <= 10",
         "ret08_fusion": f"WITH {bm25(60)}, den AS (SELECT a.vec_id AS q, b.vec_id AS i, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS rank FROM embeddings a JOIN benchmark ON item_id = a.vec_id, embeddings b QUALIFY rank <= 60), f AS (SELECT coalesce(den.q, lex.q) AS q, coalesce(den.i, lex.i) AS i, round(coalesce(1::DOUBLE / (60 + den.rank), 0) + coalesce(1::DOUBLE / (60 + lex.rank), 0), 9) AS total, den.rank AS rd, lex.rank AS rl FROM den FULL JOIN lex ON den.q = lex.q AND den.i = lex.i) SELECT q, i, total, row_number() OVER (PARTITION BY q ORDER BY total DESC, coalesce(rd, 1000000), coalesce(rl, 1000000), i)::INT AS rank FROM f QUALIFY rank <= 8",
         "dml01_upsert": a + "SELECT i, CASE WHEN i % 3 = 0 THEN number || '-v2' ELSE number END AS number, url FROM acts UNION ALL SELECT i + 10000000, number, NULL FROM acts WHERE i % 100 = 1",
     }

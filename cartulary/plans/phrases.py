@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import retrieval as I
 from ..sources import tables as S
-from .oracles import ACTS, LINES, fold, tokens
+from .oracles import ACTS, LINES, bm25, fold, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 _all: dict[str, Query] = {}
@@ -221,9 +221,9 @@ def dat06_occurrences(spark, d):
 @query(f"SELECT token, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM (SELECT token, count(DISTINCT i) AS df FROM (SELECT doc_id AS i, unnest({tokens('text')}) AS token FROM documents) GROUP BY token), (SELECT count(*) AS n FROM documents)")
 def mth02_idf(spark, d):
     chunks = S.read(spark, d, "documents").select(F.col("doc_id").alias("i"), "text")
-    n = chunks.agg(F.count(F.lit(1)).alias("n"))  # one row
-    df = I.postings(chunks).groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(n)
-    return df.select("token", F.round(F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
+    n = F.lit(chunks.count())
+    df = I.postings(S.spread(chunks)).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return df.select("token", F.round(F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 
 @query("SELECT item_id, round(1 / (60 + item_id % 60 + 1)::DOUBLE, 9) AS term, round(1 / log2(2 + item_id % 10)::DOUBLE, 9) AS discount FROM benchmark")
@@ -254,13 +254,19 @@ def jsn03_portal_rows(spark, d):
 # --- ordered rows and summaries
 
 
-@query(A + "SELECT k, number FROM (SELECT i AS k, number, number IN (SELECT number FROM acts WHERE i % 2 = 1) AS ok FROM acts WHERE i % 2 = 0) WHERE ok")
+@query(f"""WITH {ACTS}, {bm25(60, "SELECT DISTINCT number AS q, number AS text FROM acts")},
+ids AS (SELECT DISTINCT i, code || ' ' || number AS citing, act_date AS date, z AS q FROM (SELECT *, unnest(list_filter({tokens("text")}, lambda z: regexp_full_match(z, '\\d{{1,6}}/\\d{{4}}'))) AS z FROM acts)),
+firsts AS (
+  SELECT k, number, citing, min(struct_pack(r := rank, d := date)) AS f
+  FROM (SELECT i AS k, number, code || ' ' || number AS own FROM acts) a JOIN (SELECT ids.*, lex.rank FROM ids JOIN lex USING (q, i)) n ON n.q = a.number AND n.citing <> a.own GROUP BY ALL)
+SELECT k, number, citing, f.d AS date, row_number() OVER (PARTITION BY k ORDER BY f.r)::INT AS place FROM firsts QUALIFY place <= 10""")
 def join21_cited_by(spark, d):
     """Acts and the ten best other acts that name their number, from the 60 lexically best rows of the number."""
     a = S.acts(spark, d).select("i", "number", "code", "act_date", "text")
     ids = a.where(F.col("text").rlike(r"\d\s*/\s*\d{4}")).select("i", F.concat_ws(" ", "code", "number").alias("citing"), F.col("act_date").alias("date"), F.explode(F.array_distinct(T.act_ids(F.col("text")))).alias("q"))
+    texts = S.spread(a.select("i", "text"))
     numbers = a.select(F.col("number").alias("q"), F.col("number").alias("text")).distinct()
-    naming = ids.join(I.top(I.bm25(a.select("i", "text"), numbers), 60), ["q", "i"]).select("q", "citing", "date", "rank")
+    naming = ids.join(I.top(I.bm25(texts, numbers), 60), ["q", "i"]).select("q", "citing", "date", "rank")
     acts = S.acts(spark, d).select(F.col("i").alias("k"), "number", F.concat_ws(" ", "code", "number").alias("own"))
     pairs = acts.join(naming, (F.col("number") == F.col("q")) & (F.col("own") != F.col("citing")))
     first = pairs.groupBy("k", "number", "citing").agg(F.min(F.struct("rank", "date")).alias("f"))
@@ -291,8 +297,9 @@ def agg29_fidelity(spark, d):
 
 @query(f"SELECT count(*) AS n, round(avg(len), 6) AS avg_len, sum(len)::BIGINT AS total FROM (SELECT len({tokens('text')}) AS len FROM documents)")
 def agg34_corpus_stats(spark, d):
-    size = F.size(T.tokens(F.col("text")))
-    return S.read(spark, d, "documents").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(size), 6).alias("avg_len"), F.sum(size).alias("total"))
+    lengths = S.spread(S.read(spark, d, "documents").select("text")).select(F.size(T.tokens(F.col("text"))).alias("size"))
+    size = F.col("size")
+    return lengths.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(size), 6).alias("avg_len"), F.sum(size).alias("total"))
 
 
 def _packed(spark, d, most: int = 1800):

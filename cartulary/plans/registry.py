@@ -402,7 +402,7 @@ def dat01_iso(spark, d):
 
 
 def _chunks(spark, d):
-    return _docs(spark, d).select(F.col("doc_id").alias("i"), "text")
+    return S.spread(_docs(spark, d).select(F.col("doc_id").alias("i"), "text"))
 
 
 def _queries(spark, d):
@@ -429,7 +429,7 @@ def ret04_knn(spark, d):
 def ret08_fusion(spark, d):
     v = S.read(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").alias("v"))
     q = _queries(spark, d)
-    dense = I.top(I.cosine(v, q.join(v, F.col("q") == F.col("i")).select("q", "v")), I.CANDIDATES)
+    dense = I.knn(v, q.join(v, F.col("q") == F.col("i")).select("q", "v"), I.CANDIDATES)
     lexical = I.top(I.bm25(_chunks(spark, d), q), I.CANDIDATES)
     return I.fuse(dense, lexical, 8).select("q", "i", "total", "rank")
 

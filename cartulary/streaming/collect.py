@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -10,13 +11,37 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def work_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder in the one that driver and executors share; a temporary folder only in local mode."""
+    """A new folder in the one that driver and executors share, spark.checkpoint.dir, deleted when the process ends. In local mode only, where that is
+    unset, a temporary folder; elsewhere an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        base = os.path.join(tempfile.gettempdir(), "cartulary") if local else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}/{tag}"
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = os.path.join(tempfile.gettempdir(), "cartulary")
+    path = f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return f"{path}/{tag}"
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _made:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended; the folder is the cluster's to clean
+            return
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table in the shared folder: what several parts of a plan need is computed once, and a lost executor costs no more than a read."""
+    path = work_dir(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
