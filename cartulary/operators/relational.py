@@ -51,3 +51,41 @@ def coverage_date(df: DataFrame, doc: str, day: str, skip: int = 5) -> DataFrame
     """The newest date after the `skip` newest documents are set aside (the oldest, if there are fewer)."""
     per = df.where(F.col(day).isNotNull()).groupBy(doc).agg(F.max(day).alias("coverage_date"))
     return per.orderBy(F.desc("coverage_date"), doc).limit(skip + 1).agg(F.min("coverage_date").alias("coverage_date"))
+
+
+#: Heads of citations that name no act.
+DEGRADED = ("unknown", "orden_compra", "")
+
+
+def _head(citation: Column) -> Column:
+    return F.lower(F.trim(F.split_part(F.coalesce(citation, F.lit("")), F.lit("—"), F.lit(1))))
+
+
+def mended(fragments: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """fragments (doc, id_archivo, section, cita, ...) with degraded citations built anew from the catalogue (id_archivo, type, code, nro, anio).
+
+    What stood behind the dash, or else the section, stays behind it. Without a row of the catalogue, or without its number and year, a citation stays.
+    """
+    c = catalogue.select(F.col("id_archivo").alias("__k"), *[F.trim(F.coalesce(x, F.lit(""))).alias(f"__{x}") for x in ("type", "code", "nro", "anio")])
+    j = fragments.join(c, F.col("id_archivo") == F.col("__k"), "left")
+    section = F.when((F.col("section") != F.col("cita")) & (F.col("section") != F.col("doc")), F.col("section")).otherwise("")
+    suffix = F.trim(F.when(F.contains("cita", F.lit("—")), F.split_part("cita", F.lit("—"), F.lit(2))).otherwise(section))
+    kind = F.initcap(F.when(F.col("__type") == "", "acto").otherwise(F.col("__type")))
+    number = F.concat_ws("/", "__nro", "__anio")
+    base = F.concat_ws(" ", kind, F.nullif(F.upper("__code"), F.lit("")), number)
+    able = _head(F.col("cita")).isin(*DEGRADED) & F.col("__k").isNotNull() & (F.col("__nro") != "") & (F.col("__anio") != "")
+    return j.withColumn("cita", F.when(able, F.concat_ws(" — ", base, F.nullif(suffix, F.lit("")))).otherwise(F.col("cita"))).select(*fragments.columns)
+
+
+def deduplicated(fragments: DataFrame) -> DataFrame:
+    """The fragments of one copy of each act: that with a link, then of a sure origin, then with most fragments, then the last by name.
+
+    An act is the head of its citation; where that is degraded, the document stands for itself, as nothing tells whose copy it is. Copies are weighed by one
+    row each, so an act with very many fragments is a partial aggregate, not a window.
+    """
+    head = _head(F.col("cita"))
+    rows = fragments.withColumn("__act", F.when(head.isin(*DEGRADED), F.concat(F.lit("__doc__"), F.col("doc"))).otherwise(head))
+    linked, sure = F.coalesce("url", F.lit("")) != "", F.coalesce("confidence", F.lit("")).isin("catalogo", "alta")
+    copies = rows.groupBy("__act", "doc").agg(F.min_by(F.struct(linked.alias("u"), sure.alias("c")), "i").alias("first"), F.count(F.lit(1)).alias("n"))
+    best = copies.groupBy("__act").agg(F.max(F.struct("first.u", "first.c", "n", F.col("doc"))).alias("b")).select("__act", F.col("b.doc").alias("doc"))
+    return rows.join(best, ["__act", "doc"], "left_semi").select(*fragments.columns)

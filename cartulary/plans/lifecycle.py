@@ -122,11 +122,6 @@ def agg13_by_section_type(spark, d):
     return S.lines(spark, d).where(F.length("line") >= 80).groupBy(T.section_type(F.col("heading"), F.lit(False)).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(LN + "SELECT line AS heading, count(*) AS n FROM lines WHERE trim(line) <> '' GROUP BY line ORDER BY n DESC, line LIMIT 12")
-def agg16_headings(spark, d):
-    return S.lines(spark, d).where("trim(line) <> ''").groupBy(F.col("line").alias("heading")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "heading").limit(12)
-
-
 @query(A + "SELECT i, number, year + i % 2 AS year FROM acts WHERE i % 2 = 1")
 def agg18_year_incoherence(spark, d):
     """Acts whose number names another year than their metadata; two digits mean 20yy."""

@@ -65,7 +65,6 @@ def oracle_sql() -> dict[str, str]:
         return f"list_filter(list_transform(range(1, len({p})), lambda k: CASE WHEN prefix({p}[k + 1] || CASE WHEN k + 1 < len({p}) THEN '{head}' ELSE '' END, '{tail}') THEN list_sum(list_transform({p}[1:k], lambda x: length(x))) + {len(head)} * (k - 1) END), lambda z: z IS NOT NULL)"
 
     near = " AND ".join(f"len(list_filter({p}, lambda y: abs(y - o) <= 40)) > 0" for p in ("b", "c"))
-    chunk = "SELECT doc_id, len(s)::INT AS lines, list_max(list_transform(s, lambda x: length(x)))::INT AS longest, len(list_filter(s, lambda x: length(x) >= 80))::INT AS long_lines FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)"
     out = {
         "src12_html_paragraphs": r"""WITH h AS (SELECT page_id, replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</p>', chr(10) || chr(10), 'g'), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS h FROM pages),
           p AS (SELECT page_id, list_filter(list_transform(string_split_regex(h, '\n\n+'), lambda x: trim(x, ' ')), lambda x: x <> '') AS p FROM h) SELECT page_id, (i - 1)::INT AS ord, p[i] AS paragraph FROM p, unnest(range(1, len(p) + 1)) AS u(i)""",
@@ -103,8 +102,6 @@ def oracle_sql() -> dict[str, str]:
         "agg08_daily_series": "WITH p AS (SELECT ts::DATE AS d, count(*) AS n FROM events GROUP BY 1) SELECT u.day::DATE AS day, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series((SELECT min(d) FROM p)::TIMESTAMP, (SELECT max(d) FROM p)::TIMESTAMP, INTERVAL 1 DAY)) AS day) u LEFT JOIN p ON p.d = u.day::DATE",
         "agg09_most_cited": m + ", l AS (SELECT * FROM messages WHERE role = 'assistant' ORDER BY id DESC LIMIT 500), e AS (SELECT unnest(json_extract_string(sources, '$[*].cita')) AS cita FROM l) SELECT lower(trim(split_part(cita, '—', 1))) AS act, count(*) AS n FROM e GROUP BY 1 ORDER BY n DESC, act LIMIT 10",
         "agg10_catalog_state": c + "SELECT count(*) AS total, count(*) FILTER (downloaded) AS downloaded, count(*) FILTER (indexed) AS indexed, count(*) FILTER (NOT downloaded) AS pending, count(*) FILTER (downloaded AND NOT indexed) AS to_index, count(*) FILTER (url IS NULL) AS no_url FROM catalog",
-        "agg14_chunkability": chunk,
-        "agg15_audit": f"SELECT median(lines) AS median_lines, max(longest) AS longest, round(avg(CASE WHEN long_lines = 0 THEN 1 ELSE 0 END), 6) AS without, count(*) FILTER (longest > 4000) AS over FROM ({chunk})",
         "agg17_collisions": a + "SELECT code, number, count(*) AS n FROM acts GROUP BY ALL HAVING count(*) > 1",
         "agg19_missing": a + "SELECT f AS field, count(*) FILTER (v IS NULL) AS absent, count(*) FILTER (v = '') AS empty FROM (SELECT 'url' AS f, url AS v FROM acts UNION ALL SELECT 'code', code FROM acts UNION ALL SELECT 'section', section FROM acts UNION ALL SELECT 'title', title FROM acts) GROUP BY f",
         "agg20_vocabulary": "SELECT lang, count(*) AS n, lang IN ('es', 'en') AS known FROM documents GROUP BY lang",
@@ -134,4 +131,4 @@ def oracle_sql() -> dict[str, str]:
         "ret08_fusion": f"WITH {bm25(60)}, den AS (SELECT a.vec_id AS q, b.vec_id AS i, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS rank FROM embeddings a JOIN benchmark ON item_id = a.vec_id, embeddings b QUALIFY rank <= 60), f AS (SELECT coalesce(den.q, lex.q) AS q, coalesce(den.i, lex.i) AS i, round(coalesce(1::DOUBLE / (60 + den.rank), 0) + coalesce(1::DOUBLE / (60 + lex.rank), 0), 9) AS total, den.rank AS rd, lex.rank AS rl FROM den FULL JOIN lex ON den.q = lex.q AND den.i = lex.i) SELECT q, i, total, row_number() OVER (PARTITION BY q ORDER BY total DESC, coalesce(rd, 1000000), coalesce(rl, 1000000), i)::INT AS rank FROM f QUALIFY rank <= 8",
         "dml01_upsert": a + "SELECT i, CASE WHEN i % 3 = 0 THEN number || '-v2' ELSE number END AS number, url FROM acts UNION ALL SELECT i + 10000000, number, NULL FROM acts WHERE i % 100 = 1",
     }
-    return out | {"dml08_dedup": out["set04_ordered_distinct"]}
+    return out

@@ -61,48 +61,6 @@ def str03_fold_six(spark, d):
     return S.acts(spark, d).select("i", F.translate(F.lower("title"), "áéíóúñ", "aeioun").alias("plain"))
 
 
-@query(A + "SELECT i, CASE WHEN i % 3 = 2 THEN '' ELSE 'DISP ' || (i % 50 + 1) || '/' || CASE WHEN i % 3 = 0 THEN 1998 ELSE 2024 + i % 3 END END AS acts FROM acts")
-def str07_cited_for_checks(spark, d):
-    """Acts named in an answer as (code, number, year): zeros in front go, two digits of a year over 50 are of the last century."""
-    i = F.col("i")
-    year = F.when(i % 3 == 0, F.lit("98")).otherwise(F.substring((2024 + i % 3).cast("string"), 3, 2))
-    said = F.when(i % 3 != 2, F.concat(F.lit("según DISP : 00"), (i % 50 + 1).cast("string"), F.lit(" / "), year, F.lit(", art. 3"))).otherwise("sin actos")
-    found = F.regexp_extract_all(said, F.lit(r"\b[A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ\-]{1,14}\s*:?\s*\d{1,5}\s*/\s*\d{2,4}"), F.lit(0))
-    part = lambda x, k: F.regexp_extract(x, r"^(\S+?)\s*:?\s*0*(\d+)\s*/\s*(\d+)$", k)
-    full = lambda y: F.when(F.length(y) == 2, F.concat(F.when(y > "50", "19").otherwise("20"), y)).otherwise(y)
-    acts = F.array_distinct(F.transform(found, lambda x: F.concat(part(x, 1), F.lit(" "), part(x, 2), F.lit("/"), full(part(x, 3)))))
-    return S.acts(spark, d).select("i", F.array_join(acts, ",").alias("acts"))
-
-
-@query(A + "SELECT i, CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END::INT AS n FROM acts")
-def str08_norm_families(spark, d):
-    """Families of norms that a text cites, not single norms."""
-    said = F.concat(F.lit("Disp-"), F.col("number"), F.lit(" y DISP 4/2020"), F.when(F.col("i") % 2 == 0, " y resol-12/24").otherwise(""))
-    found = F.regexp_extract_all(said, F.lit(r"(?i)\b(DISP|RESOL|RES|ACTDB)[A-Z\-]*\s*[:\-]?\s*\d{1,7}\s*[/\-]\s*\d{2,4}"), F.lit(1))
-    return S.acts(spark, d).select("i", F.size(F.array_distinct(F.transform(found, F.upper))).alias("n"))
-
-
-@query(A + "SELECT i, CASE WHEN i % 3 = 0 THEN '' ELSE 'Ana Ruiz' || (CASE WHEN i % 2 = 0 THEN ',Juan de Paz' ELSE '' END) END AS names FROM acts")
-def str09_person_names(spark, d):
-    """Runs of capitalised words that open no sentence and hold no word of institutions."""
-    i = F.col("i")
-    said = F.when(i % 3 == 0, "Consejo Superior resuelve. Facultad Regional pide").otherwise(F.concat(F.lit("El pedido de Ana Ruiz ante el Consejo Superior"), F.when(i % 2 == 0, " y de Juan de Paz").otherwise("")))
-    found = F.regexp_extract_all(said, F.lit(r"(?<![.!?] )(?<!^)\b\p{Lu}\p{Ll}+(?: (?:de |del )?\p{Lu}\p{Ll}+){1,3}"), F.lit(0))
-    names = F.filter(found, lambda x: ~x.rlike(r"\b(Consejo|Facultad|Universidad|Departamento|Superior)\b"))
-    return S.acts(spark, d).select("i", F.array_join(names, ",").alias("names"))
-
-
-@query(A + "SELECT i, code, number, year FROM acts")
-def str13_split_number(spark, d):
-    """A code, a number and a year of two or four digits, anchored; the separator may lack."""
-    i = F.col("i")
-    yy = F.when(i % 2 == 0, F.substring(F.col("year").cast("string"), 3, 2)).otherwise(F.col("year").cast("string"))
-    said = F.concat(F.lit(" "), F.lower("code"), F.when(i % 3 == 0, " : ").when(i % 3 == 1, " ").otherwise("- "), F.split_part("number", F.lit("/"), F.lit(1)), F.lit(" / "), yy)
-    part = lambda k: F.regexp_extract(F.trim(said), r"^(?i)([A-ZÑ0-9][A-ZÑ0-9-]*?)\s*[-:]?\s+(\d+)\s*/\s*(\d{2,4})\s*$", k)
-    year = F.when(F.length(part(3)) == 4, part(3)).otherwise(F.concat(F.lit("20"), part(3)))
-    return S.acts(spark, d).select("i", F.upper(part(1)).alias("code"), F.concat_ws("/", part(2), year).alias("number"), year.cast("long").alias("year"))
-
-
 # fixed values: the genres of acts by their plain first word
 GENRES = {"disposicion": "Disposición", "resolucion": "Resolución", "ordenanza": "Ordenanza", "acta": "Acta", "nota": "Nota", "providencia": "Providencia", "orden": "Orden de compra"}
 
@@ -288,13 +246,6 @@ def agg25_error_log(spark, d):
     return last.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select("kind", "n", (F.col("n") == 1).alias("single"))
 
 
-@query(A + "SELECT section, count(*) AS answers, sum(i % 4) AS cited, sum(CASE WHEN i % 5 = 0 AND i % 4 > 0 THEN 1 ELSE 0 END) AS loose, count(*) FILTER (i % 7 = 0) AS with_names FROM acts GROUP BY section")
-def agg29_fidelity(spark, d):
-    i = F.col("i")
-    loose = F.when((i % 5 == 0) & (i % 4 > 0), 1).otherwise(0).cast("long")
-    return S.acts(spark, d).groupBy("section").agg(F.count(F.lit(1)).alias("answers"), F.sum(i % 4).alias("cited"), F.sum(loose).alias("loose"), F.count_if(i % 7 == 0).alias("with_names"))
-
-
 @query(f"SELECT count(*) AS n, round(avg(len), 6) AS avg_len, sum(len)::BIGINT AS total FROM (SELECT len({tokens('text')}) AS len FROM documents)")
 def agg34_corpus_stats(spark, d):
     lengths = S.spread(S.read(spark, d, "documents").select("text")).select(F.size(T.tokens(F.col("text"))).alias("size"))

@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import relational as R
 from ..operators import retrieval as I
 from ..sources import tables as S
-from . import lifecycle, oracles, phrases, recall, transfer, upkeep
+from . import citations, lifecycle, oracles, phrases, recall, transfer, upkeep
 
 Query = Callable[[SparkSession, str], DataFrame]
 _all: dict[str, Query] = {}
@@ -245,19 +245,6 @@ def agg10_catalog_state(spark, d):
     return c.agg(F.count(F.lit(1)).alias("total"), F.count_if("downloaded").alias("downloaded"), F.count_if("indexed").alias("indexed"), F.count_if(~F.col("downloaded")).alias("pending"), F.count_if(F.col("downloaded") & ~F.col("indexed")).alias("to_index"), F.count_if(F.col("url").isNull()).alias("no_url"))
 
 
-@query
-def agg14_chunkability(spark, d):
-    t = F.col("text")
-    ln = F.split(t, "\n")
-    return _docs(spark, d).select("doc_id", F.size(ln).alias("lines"), F.array_max(F.transform(ln, F.length)).alias("longest"), F.size(F.filter(ln, lambda x: F.length(x) >= 80)).alias("long_lines"))
-
-
-@query
-def agg15_audit(spark, d):
-    a = agg14_chunkability(spark, d)
-    return a.agg(F.expr("percentile(lines, 0.5)").alias("median_lines"), F.max("longest").alias("longest"), F.round(F.avg((F.col("long_lines") == 0).cast("int")), 6).alias("without"), F.count_if(F.col("longest") > 4000).alias("over"))
-
-
 @query
 def agg17_collisions(spark, d):
     return S.acts(spark, d).groupBy("code", "number").count().where("count > 1").select("code", "number", F.col("count").alias("n"))
@@ -441,19 +428,14 @@ def dml01_upsert(spark, d):
     return R.upsert(a, new, "i", ["number"])
 
 
-@query
-def dml08_dedup(spark, d):
-    return set04_ordered_distinct(spark, d)
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid retrieval for all benchmark queries."""
     return ret08_fusion(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return _all | lifecycle.queries() | upkeep.queries() | recall.queries() | transfer.queries() | phrases.queries()
+    return _all | lifecycle.queries() | upkeep.queries() | recall.queries() | transfer.queries() | phrases.queries() | citations.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oracles.oracle_sql().items() if k in _all} | lifecycle.oracle_sql() | upkeep.oracle_sql() | recall.oracle_sql() | transfer.oracle_sql() | phrases.oracle_sql()
+    return {k: v for k, v in oracles.oracle_sql().items() if k in _all} | lifecycle.oracle_sql() | upkeep.oracle_sql() | recall.oracle_sql() | transfer.oracle_sql() | phrases.oracle_sql() | citations.oracle_sql()

@@ -76,15 +76,6 @@ def str05_known_codes(spark, d):
     return a.join(codes, F.col("code") == F.col("c"), "left").select("i", F.col("c").isNotNull().alias("known"))
 
 
-@query(A + "SELECT i, 'DISP:' || number || ',RES:9/2025' AS cited FROM acts")
-def str06_cited_acts(spark, d):
-    """Distinct (code, number/year) pairs named in a text, in order."""
-    said = F.concat(F.lit("ver DISP: "), F.col("number"), F.lit(" y RES 9/2025, DISP "), F.col("number"))
-    at = F.regexp_extract_all(said, F.lit(r"([A-Z]{3,}) ?:? ?(\d{1,6}/\d{4})"), F.lit(0))
-    key = F.transform(at, lambda x: F.concat(F.regexp_extract(x, r"^[A-Z]+", 0), F.lit(":"), F.regexp_extract(x, r"\d+/\d+$", 0)))
-    return S.acts(spark, d).select("i", F.array_join(F.array_distinct(key), ",").alias("cited"))
-
-
 @query(A + "SELECT i, CASE WHEN i % 6 = 0 THEN '' ELSE code || '|' || split_part(number, '/', 1) || '|' || year || ',' || substring(code, 6) || '|' || split_part(number, '/', 1) || '|' || year END AS keys FROM acts")
 def str11_act_keys(spark, d):
     """Keys with and without the type prefix; spaces go, two digits of a year mean 20yy, a missing part gives none."""
@@ -95,13 +86,6 @@ def str11_act_keys(spark, d):
     return a.select("i", F.when(F.col("n").isNull(), "").otherwise(F.array_join(keys, ",")).alias("keys"))
 
 
-@query(A + "SELECT i, split_part(number, '/', 1)::BIGINT AS n, year FROM acts")
-def str12_act_key(spark, d):
-    said = F.concat("code", F.lit(" : 00"), F.regexp_replace("number", "/", " / "))
-    part = lambda k: F.regexp_extract(said, r":\s*0*(\d+)\s*/\s*(\d{4})", k).cast("long")
-    return S.acts(spark, d).select("i", part(1).alias("n"), part(2).alias("year"))
-
-
 @query(LN + "SELECT doc_id, ord, 'Anexo I' AS name FROM lines WHERE heading = 'ANEXO I'")
 def str17_annex_name(spark, d):
     title = F.regexp_extract(F.lower("heading"), r"^anexo\s+([ivxlc]+|\d+)", 1)
@@ -181,14 +165,6 @@ def ret19_weights(spark, d):
     return S.read(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.try_element_at(table, F.col("role")), F.lit(0.0)).alias("weight"))
 
 
-@query(A + "SELECT i, CASE WHEN i % 3 = 0 THEN '' ELSE 'RES 9/2025' END AS loose FROM acts")
-def ret21_grounding(spark, d):
-    """Acts that an answer cites and no retrieved text names."""
-    act = F.concat(F.lit("DISP "), F.col("number"))
-    cited, named = F.array(act, F.lit("RES 9/2025")), F.when(F.col("i") % 3 == 0, F.array(F.lit("RES 9/2025"), act)).otherwise(F.array(act))
-    return S.acts(spark, d).select("i", F.array_join(F.array_except(cited, named), ",").alias("loose"))
-
-
 # --- data changes
 
 
