@@ -159,8 +159,14 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     p = plan(slim_table(docs, id_col, text, source, seed), weights, total_share, max_repeat)
     p = p.toDF(*[f"__mix_{c}" for c in p.columns])
     u, c = uniform(id_col, seed), lambda name: F.col(f"__mix_{name}")
-    rows = docs.join(p, F.col(source).eqNullSafe(c("source"))).withColumn("__mix_size", size_of(text)).where("__mix_size > 0")
-    rows = rows.withColumn("__mix_at", F.element_at(c("of"), size_class("__mix_size"))).withColumn("__mix_q", odds(u, F.col("__mix_at.p")))
-    more = F.when(c("strict"), c("q") < c("cut")).otherwise(c("q") <= c("cut"))
-    rows = rows.withColumn("__mix_n", (F.col("__mix_at.whole") + F.coalesce(more, F.lit(False)).cast("long")).cast("int"))
-    return rows.where("__mix_n > 0").withColumn("__mix_k", F.explode(F.sequence(F.lit(1), F.col("__mix_n")))).select(*cols)
+
+    def n(size: Column) -> Column:
+        at = F.element_at(c("of"), F.length(F.bin(size)).cast("int"))
+        q = odds(u, at["p"])
+        more = F.when(c("strict"), q < c("cut")).otherwise(q <= c("cut"))
+        return F.when(size > 0, (at["whole"] + F.coalesce(more, F.lit(False)).cast("long")).cast("int")).otherwise(F.lit(0))
+
+    # a variable of a lambda, so that the words are counted once however often the size is needed
+    copies_of = F.element_at(F.transform(F.array(size_of(text)), n), 1)
+    rows = docs.join(p, F.col(source).eqNullSafe(c("source"))).withColumn("__mix_n", copies_of)
+    return rows.withColumn("__mix_k", F.explode(F.when(F.col("__mix_n") > 0, F.sequence(F.lit(1), F.col("__mix_n"))))).select(*cols)
