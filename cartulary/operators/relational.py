@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..streaming.collect import written
+
 
 def first_by(df: DataFrame, keys: list[str], *order: Column | str, n: int = 1) -> DataFrame:
     """The first n rows of each key in a total order."""
@@ -53,6 +55,34 @@ def coverage_date(df: DataFrame, doc: str, day: str, skip: int = 5) -> DataFrame
     return per.orderBy(F.desc("coverage_date"), doc).limit(skip + 1).agg(F.min("coverage_date").alias("coverage_date"))
 
 
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """df with its rows' places, from 0, in the order of columns that tell all rows apart: ranges are sorted each by itself, and numbered behind the counts of
+    those before them, so no task holds all rows."""
+    ranges = written(df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))  # a row a range
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return ranges.join(F.broadcast(base), "__range").withColumn(out, F.col("__base") + place).drop("__range", "__base")
+
+
+def merged_index(one: DataFrame, two: DataFrame, key: str, document: str, vector: str) -> DataFrame:
+    """The rows of both indexes, those of the second numbered after the greatest key of the first.
+
+    ValueError where the columns differ, a row's number is there twice, vectors have several dimensions, or a document is in both.
+    """
+    if one.dtypes != two.dtypes:
+        raise ValueError("the columns differ")
+    about = [t.agg(F.count(F.lit(1)), F.count_distinct(key), F.min(F.size(vector)), F.max(F.size(vector)), F.max(key)).first() for t in (one, two)]
+    if any(n != kinds for n, kinds, *_ in about):
+        raise ValueError("a number is there twice")
+    if len({d for _, _, low, high, _ in about for d in (low, high) if d is not None and d >= 0}) > 1:
+        raise ValueError("vectors have several dimensions")
+    if not one.join(two, document, "left_semi").isEmpty():
+        raise ValueError("a document is in both indexes")
+    return one.unionByName(two.withColumn(key, F.col(key) + F.lit((about[0][4] if about[0][4] is not None else -1) + 1)))
+
+
 #: Heads of citations that name no act.
 DEGRADED = ("unknown", "orden_compra", "")
 

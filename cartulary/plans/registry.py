@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import relational as R
 from ..operators import retrieval as I
 from ..sources import tables as S
-from . import citations, lifecycle, oracles, phrases, recall, transfer, upkeep
+from . import citations, indexes, lifecycle, oracles, phrases, recall, transfer, upkeep
 
 Query = Callable[[SparkSession, str], DataFrame]
 _all: dict[str, Query] = {}
@@ -331,8 +331,8 @@ def win18_share_of_max(spark, d):
 
 @query
 def top08_modulo_shard(spark, d):
-    a = _docs(spark, d).withColumn("k", F.row_number().over(Window.orderBy("source", "doc_id")) - 1)
-    return a.where(F.pmod("k", F.lit(4)) == 1).select("doc_id", "k")
+    a = R.numbered(_docs(spark, d).select("source", "doc_id"), ["source", "doc_id"], "k")
+    return a.where(F.pmod("k", F.lit(4)) == 1).select("doc_id", F.col("k").cast("int").alias("k"))
 
 
 @query
@@ -434,8 +434,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return _all | lifecycle.queries() | upkeep.queries() | recall.queries() | transfer.queries() | phrases.queries() | citations.queries()
+    return _all | lifecycle.queries() | upkeep.queries() | recall.queries() | transfer.queries() | phrases.queries() | citations.queries() | indexes.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oracles.oracle_sql().items() if k in _all} | lifecycle.oracle_sql() | upkeep.oracle_sql() | recall.oracle_sql() | transfer.oracle_sql() | phrases.oracle_sql() | citations.oracle_sql()
+    return {k: v for k, v in oracles.oracle_sql().items() if k in _all} | lifecycle.oracle_sql() | upkeep.oracle_sql() | recall.oracle_sql() | transfer.oracle_sql() | phrases.oracle_sql() | citations.oracle_sql() | indexes.oracle_sql()

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import relational as R
 from ..operators import retrieval as I
 from ..sources import files
 from ..sources import tables as S
@@ -134,16 +135,14 @@ def snk10_report_latex(spark, d):
     return files.latex_lines(r, ["s"])
 
 
-@query(A + "SELECT i, code, number FROM acts WHERE i % 2 = 0 UNION ALL SELECT i + 1000000000, code, number FROM acts WHERE i % 2 = 1")
+@query(A + "SELECT i, code, number, i AS was, vec_id IS NOT NULL AS has FROM acts LEFT JOIN embeddings ON i = vec_id WHERE i % 2 = 0 UNION ALL SELECT i + (SELECT max(i) + 1 FROM acts WHERE i % 2 = 0), code, number, i, vec_id IS NOT NULL FROM acts LEFT JOIN embeddings ON i = vec_id WHERE i % 2 = 1")
 def dml06_index_merge(spark, d):
-    """Two indexes become one where their columns agree and no document is in both; the second is numbered after the first."""
-    a = S.acts(spark, d).select("i", "code", "number")
-    one, two = a.where("i % 2 = 0"), a.where("i % 2 = 1")
-    if one.dtypes != two.dtypes:
-        raise ValueError("the columns differ")
-    if not one.join(two, "i", "left_semi").isEmpty():
-        raise ValueError("a document is in both indexes")
-    return one.unionByName(two.withColumn("i", F.col("i") + 1_000_000_000))
+    """Two indexes become one where rows and vectors agree in number and dimension and no document is in both; the second is numbered after the first."""
+    a = S.acts(spark, d).select("i", "code", "number", F.col("i").alias("was"))
+    v = S.read(spark, d, "embeddings").select(F.col("vec_id").alias("k"), "embedding")
+    a = a.join(v, F.col("i") == F.col("k"), "left").select("i", "code", "number", "was", "embedding")
+    merged = R.merged_index(a.where("i % 2 = 0"), a.where("i % 2 = 1"), "i", "was", "embedding")
+    return merged.select("i", "code", "number", "was", F.col("embedding").isNotNull().alias("has"))
 
 
 def queries() -> dict[str, Query]:

@@ -170,6 +170,23 @@ def current(spark: SparkSession, root: str, version: int | None = None) -> DataF
     return spark.read.parquet(f"{root}/v{n}")
 
 
+def replace_keeping_first(df: DataFrame, path: str) -> bool:
+    """Replaces the table at path by df, after a copy of it to `path`.bak; a copy that is there is never written over. Whether it was made now.
+
+    The new rows are complete beside the old ones before these go, so a failure leaves one of the two.
+    """
+    fs, P = _fs(df.sparkSession, path)
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    copy = fs.exists(P(path)) and not fs.exists(P(f"{path}.bak"))
+    if copy:
+        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, P(path), fs, P(f"{path}.bak.part"), False, conf)
+        fs.rename(P(f"{path}.bak.part"), P(f"{path}.bak"))
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    fs.delete(P(path), True)
+    fs.rename(P(f"{path}.new"), P(path))
+    return copy
+
+
 # --- postings and reports
 
 

@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,7 +63,12 @@ def _last_version(spark: SparkSession, target: str) -> str | None:
     return max(done, key=lambda n: int(n[1:]), default=None)
 
 
-def collect_latest(stream: DataFrame, keys: list[str], order: Column, target: str) -> DataFrame:
+def collect_earliest(stream: DataFrame, keys: list[str], order: str, target: str) -> DataFrame:
+    """Runs the stream over all that is there and returns the earliest row (keys, order) of each key, merged with what earlier runs collected."""
+    return collect_latest(stream.select(*keys, order), keys, order, target, F.min_by)
+
+
+def collect_latest(stream: DataFrame, keys: list[str], order: Column | str, target: str, pick: Callable = F.max_by) -> DataFrame:
     """Runs the stream over all that is there and returns the newest row of each key, merged with what earlier runs collected.
 
     Each micro-batch writes version v<batch> of the table from the version before it, so a batch that runs again after a failure writes the same
@@ -74,7 +80,7 @@ def collect_latest(stream: DataFrame, keys: list[str], order: Column, target: st
         rows = batch.select(*columns)
         if number:
             rows = rows.unionByName(batch.sparkSession.read.parquet(f"{target}/v{number - 1}").select(*columns))
-        best = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("row"))
+        best = rows.groupBy(*keys).agg(pick(F.struct(*columns), order).alias("row"))
         best.select("row.*").write.mode("overwrite").parquet(f"{target}/v{number}")
 
     q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{target}/_log").trigger(availableNow=True).start()
