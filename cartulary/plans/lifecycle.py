@@ -316,12 +316,6 @@ def str16_shorten(spark, d):
     return a.select("i", F.when(F.length(t) <= 60, t).otherwise(F.concat(F.regexp_extract(F.substring(t, 1, 60), r"^(.*)\s", 1), F.lit("…"))).alias("short"))
 
 
-@query(A + "SELECT i, CASE WHEN i % 9 <> 0 THEN 'Disposición ' || code || ' ' || number END AS citation FROM acts")
-def str19_catalogue_citation(spark, d):
-    number = F.when(F.col("i") % 9 != 0, F.col("number"))
-    return S.acts(spark, d).select("i", F.when(number.isNotNull(), F.concat_ws(" ", F.initcap(F.lit("DISPOSICIÓN")), "code", number)).alias("citation"))
-
-
 @query(A + "SELECT i, section || ' | ' || number || chr(10) || chr(10) || text AS indexed_text FROM acts")
 def str20_embedding_header(spark, d):
     return S.acts(spark, d).select("i", F.concat_ws("\n\n", F.concat_ws(" | ", "section", "number"), "text").alias("indexed_text"))
@@ -346,13 +340,6 @@ def str26_nearest_of_list(spark, d):
     return S.read(spark, d, "part").select("p_partkey", best.b.alias("nearest"))
 
 
-@query(A + "SELECT i, upper(source) || CASE WHEN row_number() OVER (PARTITION BY source, number ORDER BY i) > 1 THEN '__' || lpad(i::VARCHAR, 8, '0') ELSE '' END AS file FROM (SELECT i, number, lower(substring(code, 6)) AS source FROM acts)")
-def str38_file_name(spark, d):
-    """A base name of the identity; rows after the first of their identity get their id."""
-    again = F.row_number().over(Window.partitionBy("code", "number").orderBy("i")) > 1
-    return S.acts(spark, d).select("i", F.concat(F.upper(F.regexp_replace("code", "^DISP-", "")), F.when(again, F.concat(F.lit("__"), F.lpad(F.col("i").cast("string"), 8, "0"))).otherwise("")).alias("file"))
-
-
 @query(A + "SELECT i, 'https://portal.example/docs/' || i || '/file?id=' || i AS link FROM acts")
 def str39_link(spark, d):
     return S.acts(spark, d).select("i", F.format_string("https://portal.example/docs/%d/file?id=%d", "i", "i").alias("link"))

@@ -61,44 +61,6 @@ def str03_fold_six(spark, d):
     return S.acts(spark, d).select("i", F.translate(F.lower("title"), "áéíóúñ", "aeioun").alias("plain"))
 
 
-# fixed values: the genres of acts by their plain first word
-GENRES = {"disposicion": "Disposición", "resolucion": "Resolución", "ordenanza": "Ordenanza", "acta": "Acta", "nota": "Nota", "providencia": "Providencia", "orden": "Orden de compra"}
-
-
-def genre(kind):
-    first = F.regexp_extract(F.trim(F.coalesce(kind, F.lit("documento"))), r"^\S+", 0)
-    first = F.when(first == "", "documento").otherwise(first)
-    table = F.create_map(*[F.lit(x) for kv in GENRES.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, T.fold(first)), F.concat(F.upper(F.substring(first, 1, 1)), F.lower(F.substr(first, F.lit(2)))))
-
-
-@query(A + "SELECT i, ['Resolución', 'Orden de compra', 'Contrato', 'Documento', 'Acta'][(i % 5 + 1)::INT] AS genre FROM acts")
-def str15_genre(spark, d):
-    kinds = F.array(F.lit("RESOLUCIÓN del consejo"), F.lit("orden 7"), F.lit("cONTRATO"), F.lit("  "), F.lit("Acta"))
-    return S.acts(spark, d).select("i", genre(F.get(kinds, (F.col("i") % 5).cast("int"))).alias("genre"))
-
-
-@query(LN + """SELECT doc_id, ord, CASE WHEN doc_id % 4 = 0 THEN 'Resolución' ELSE 'Resolución DISP 7/2024' END || CASE WHEN heading = 'Artículo n' THEN ' — Artículo n' WHEN heading = 'ANEXO I' THEN ' — Anexo I' WHEN heading IN ('Visto', 'Considerando') THEN ' — ' || heading ELSE '' END AS citation FROM lines""")
-def str18_citation(spark, d):
-    """Genre, code and number without what is unknown, and the part of the act."""
-    unknown = F.col("doc_id") % 4 == 0
-    code, number = (F.when(unknown, "unknown").otherwise(x) for x in ("DISP", "7/2024"))
-    known = lambda c: F.when(c != "unknown", c)
-    head = F.concat_ws(" ", genre(F.lit("resolucion interna")), known(code), known(number))
-    h = F.col("heading")
-    part = F.when(h.startswith("Artículo"), h).when(h.startswith("ANEXO"), F.concat(F.lit("Anexo "), F.upper(F.regexp_extract(h, r"(?i)^anexo\s+(\S+)", 1)))).when(h.isin("Visto", "Considerando"), h)
-    return S.lines(spark, d).select("doc_id", "ord", F.concat_ws(" — ", head, part).alias("citation"))
-
-
-@query(A + "SELECT i, CASE WHEN i % 3 = 0 THEN 'ACTAS' WHEN i % 3 = 1 THEN '' ELSE 'RES_HCS' END AS section FROM acts")
-def str22_section_of_file(spark, d):
-    """The section in a file's name: the running number goes; names in lower case or in the form of an act's number are none."""
-    i = F.col("i").cast("string")
-    name = F.when(F.col("i") % 3 == 0, F.concat(F.lit("ACTAS_"), i)).when(F.col("i") % 3 == 1, F.concat(F.lit("notas_"), i)).otherwise(F.concat(F.lit("RES_HCS_"), i))
-    stem = F.regexp_replace(name, r"_\d+$", "")
-    return S.acts(spark, d).select("i", F.when((stem == F.upper(stem)) & ~stem.rlike(r"^[A-Z-]+_\d+_\d{4}$"), stem).otherwise("").alias("section"))
-
-
 @query(A + "SELECT i, '## ' || CASE i % 3 WHEN 0 THEN 'Visto' WHEN 1 THEN 'Considerando' ELSE 'Parte resolutiva' END || chr(10) || chr(10) || 'texto' || chr(10) || '### Artículo 3' || chr(10) || chr(10) || 'Apruébase' AS body FROM acts")
 def str27_headings(spark, d):
     """The parts of an act in capitals become headings."""
@@ -117,30 +79,6 @@ def str29_mojibake(spark, d):
     return S.acts(spark, d).select("i", F.when(broken.rlike("[ÃÂ]"), again).otherwise(broken).alias("repaired"))
 
 
-@query(A + "SELECT i, CASE i % 3 WHEN 0 THEN 'Villa María del Río' WHEN 1 THEN 'Luján' ELSE 'San Luis' END AS city FROM acts")
-def str33_city(spark, d):
-    """Capitals by word but for particles, one space between words, and the accent of a known city."""
-    names = F.array(F.lit("VILLA  MARÍA DEL RÍO"), F.lit("LUJAN"), F.lit("san luis"))
-    low = F.transform(F.split(F.lower(F.trim(F.get(names, (F.col("i") % 3).cast("int")))), r"\s+"), lambda w: F.when(w.isin("de", "del", "la", "las", "los", "y"), w).otherwise(F.initcap(w)))
-    return S.acts(spark, d).select("i", F.regexp_replace(F.array_join(low, " "), r"\bLujan\b", "Luján").alias("city"))
-
-
-@query(r"""SELECT item_id AS q, text || CASE WHEN contains(t, 'the') AND NOT contains(t, 'articulo unico') THEN CASE WHEN contains(t, 'that') THEN ' (artículo único, norma)' ELSE ' (artículo único)' END WHEN contains(t, 'that') THEN ' (norma)' ELSE '' END AS question
-  FROM (SELECT *, """ + fold("text") + " AS t FROM benchmark)")
-def str35_glossary(spark, d):
-    """Terms of a glossary go behind a question that names their left side, each once, if the question lacks them."""
-    glossary = [("the", "artículo único"), ("that", "norma, artículo único"), ("zzzz", "nada"), ("", "vacío")]
-    q = T.fold(F.col("text"))
-    terms = F.array().cast("array<string>")
-    for left, right in glossary:
-        if left and right:
-            new = F.array(*[F.lit(x.strip()) for x in right.split(",")])
-            terms = F.array_union(terms, F.when(F.contains(q, F.lit(left)), F.filter(new, lambda x: ~F.contains(q, T.fold(x)))).otherwise(F.array().cast("array<string>")))
-    order = F.array(F.lit("artículo único"), F.lit("norma"))
-    said = F.filter(order, lambda x: F.array_contains(terms, x))
-    return S.read(spark, d, "benchmark").select(F.col("item_id").alias("q"), F.when(F.size(said) > 0, F.concat("text", F.lit(" ("), F.array_join(said, ", "), F.lit(")"))).otherwise(F.col("text")).alias("question"))
-
-
 @query(A + f"SELECT i, CASE WHEN len(p) = 0 THEN false ELSE len(list_filter(p, lambda y: contains({fold('text')}, y))) >= least(2, len(p)) END AS named FROM (SELECT i, text, list_filter({tokens('title')}, lambda t: length(t) >= 4) AS p FROM acts)")
 def str37_names_entity(spark, d):
     pieces = F.filter(T.tokens(F.col("title")), lambda t: F.length(t) >= 4)
@@ -151,14 +89,6 @@ def str37_names_entity(spark, d):
 # --- dates and schedules
 
 
-@query(A + "SELECT i, CASE WHEN i % 4 = 0 THEN '2031-01-05' ELSE year || '-03-02' END AS issued FROM acts")
-def dat04_issue_date(spark, d):
-    """Of the dates in a text the earliest of the act's year, else the first."""
-    i, year = F.col("i"), F.split_part("number", F.lit("/"), F.lit(2))
-    found = F.when(i % 4 == 0, F.array(F.lit("2031-01-05"), F.lit("2030-01-01"))).otherwise(F.array(F.lit("2031-01-05"), F.concat(year, F.lit("-08-09")), F.concat(year, F.lit("-03-02"))))
-    return S.acts(spark, d).select("i", F.coalesce(F.array_min(F.filter(found, lambda c: F.substring(c, 1, 4) == year)), F.get(found, F.lit(0)), F.lit("unknown")).alias("issued"))
-
-
 @query("""WITH e AS (SELECT event_id, ts, ts::DATE AS day, (event_id % 24)::INT AS hour FROM events),
   p AS (SELECT *, CASE WHEN day + to_hours(hour) <= ts THEN day + to_hours(hour) ELSE day - 1 + to_hours(hour) END AS previous FROM e)
   SELECT event_id, previous, previous + INTERVAL 1 DAY AS next, ts - previous <= INTERVAL 12 HOUR AND event_id % 5 <> 0 AS due FROM p""")

@@ -198,12 +198,6 @@ def ret18_state_merge(spark, d):
     return state.groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda r: F.concat(r.act, F.lit(":"), r.origin)), ",").alias("state"), F.sum(weight).alias("weight"))
 
 
-@query("SELECT event_id, CASE WHEN event_type IN ('click', 'purchase', 'view') THEN user_id::VARCHAR ELSE '' END AS entity FROM events")
-def ret20_entity_types(spark, d):
-    """An entity is kept only with a type of the list."""
-    return S.read(spark, d, "events").select("event_id", F.when(F.col("event_type").isin("click", "purchase", "view"), F.col("user_id").cast("string")).otherwise("").alias("entity"))
-
-
 @query(A + f"SELECT number, contains(s, 'the') AND contains(s, 'that') AS right FROM (SELECT number, string_agg({fold('text')}, ' ' ORDER BY i) AS s FROM acts GROUP BY number)")
 def ret22_attribution(spark, d):
     """Whether the cited texts of a number hold all names that were asked for, each in any of them."""

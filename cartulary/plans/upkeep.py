@@ -69,13 +69,6 @@ def flt20_public_folders(spark, d):
 # --- scalar functions
 
 
-@query(A + "SELECT i, code IN (SELECT code FROM acts WHERE section = 'en') AS known FROM acts")
-def str05_known_codes(spark, d):
-    a = S.acts(spark, d)
-    codes = a.where("section = 'en'").select(F.col("code").alias("c")).distinct()
-    return a.join(codes, F.col("code") == F.col("c"), "left").select("i", F.col("c").isNotNull().alias("known"))
-
-
 @query(A + "SELECT i, CASE WHEN i % 6 = 0 THEN '' ELSE code || '|' || split_part(number, '/', 1) || '|' || year || ',' || substring(code, 6) || '|' || split_part(number, '/', 1) || '|' || year END AS keys FROM acts")
 def str11_act_keys(spark, d):
     """Keys with and without the type prefix; spaces go, two digits of a year mean 20yy, a missing part gives none."""
@@ -97,38 +90,11 @@ def str28_bullets(spark, d):
     return S.read(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"(^|\n)[ \t]*[·●•][ \t]*", "$1- ").alias("body"))
 
 
-@query("SELECT event_id, event_type AS command, event_id % 90 AS days FROM events")
-def str34_slash_command(spark, d):
-    """A command and its leading number of days."""
-    said = F.concat(F.lit("/"), "event_type", F.lit(" "), (F.col("event_id") % 90).cast("string"), F.lit(" días"))
-    return S.read(spark, d, "events").select("event_id", F.regexp_extract(said, r"^/(\S+)", 1).alias("command"), F.regexp_extract(said, r"^/\S+\s+(\d+)", 1).cast("long").alias("days"))
-
-
 @query(M + "SELECT id, turn > 0 AND NOT regexp_matches(text, '\\d+/\\d{2,4}') AS needs_context FROM messages WHERE role = 'user'")
 def str36_needs_context(spark, d):
     return S.messages(spark, d).where("role = 'user'").select("id", ((F.col("turn") > 0) & ~F.col("text").rlike(r"\d+/\d{2,4}")).alias("needs_context"))
 
 
-@query(A + "SELECT i, 'disp_' || replace(number, '/', '_') AS slug FROM acts")
-def str40_slug(spark, d):
-    return S.acts(spark, d).select("i", F.concat(F.lit("disp_"), F.regexp_replace("number", r"[^0-9A-Za-z]+", "_")).alias("slug"))
-
-
-MONTHS = ("ene", "feb", "mar", "abr", "may", "jun", "jul", "ago", "sep", "oct", "nov", "dic")
-
-
-@query(A + "SELECT i, strftime(act_date, '%Y-%m-%d') AS iso FROM acts")
-def dat03_written_date(spark, d):
-    """A Spanish date in words to ISO: the month by its first three letters, two digits of a year mean 20yy."""
-    names = F.array(*map(F.lit, MONTHS))
-    said = F.concat(F.dayofmonth("act_date").cast("string"), F.lit(" de "), F.upper(F.element_at(names, F.month("act_date"))), F.lit(". de "), F.when(F.col("i") % 2 == 0, F.year("act_date") - 2000).otherwise(F.year("act_date")).cast("string"))
-    part = lambda k: F.regexp_extract(said, r"^(\d{1,2}) de (\p{L}{3})\p{L}*\.? de (\d{2,4})$", k)
-    month = F.array_position(names, F.lower(part(2)))
-    year = F.when(F.length(part(3)) == 2, F.concat(F.lit("20"), part(3))).otherwise(part(3))
-    iso = F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(part(1), 2, "0"))
-    return S.acts(spark, d).select("i", F.when((month > 0) & part(1).cast("int").between(1, 31), iso).alias("iso"))
-
-
 @query("SELECT event_id, ts::DATE AS day FROM events")
 def dat07_epoch_day(spark, d):
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
@@ -159,12 +125,6 @@ def ret15_low_confidence(spark, d):
     return S.catalog(spark, d).groupBy("section").agg(F.count_if(~F.coalesce("confidence", F.lit("")).isin("alta", "media")).alias("low"))
 
 
-@query("SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 0.5 WHEN 'user' THEN 1.0 ELSE 0.0 END::DOUBLE AS weight FROM conversations")
-def ret19_weights(spark, d):
-    table = F.create_map(F.lit("assistant"), F.lit(0.5), F.lit("user"), F.lit(1.0))
-    return S.read(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.try_element_at(table, F.col("role")), F.lit(0.0)).alias("weight"))
-
-
 # --- data changes
 
 
