@@ -136,7 +136,7 @@ def written_date(day: Column, month: Column, year: Column) -> Column:
     """ISO date of a day, a month in digits or letters, and a year; two digits of a year mean 20yy. Days up to 31 in any month; null where a part is wrong."""
     y = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).when(F.length(year) == 4, year)
     m = F.when(month.rlike(r"^\d+$"), F.lpad(month, 2, "0")).otherwise(F.try_element_at(_map(MONTHS), F.substring(F.lower(month), 1, 3)))
-    ok = day.cast("int").between(1, 31) & m.cast("int").between(1, 12)
+    ok = day.try_cast("int").between(1, 31) & m.try_cast("int").between(1, 12)
     return F.when(ok, F.concat(y, F.lit("-"), m, F.lit("-"), F.lpad(day, 2, "0")))
 
 
@@ -144,7 +144,7 @@ def issue_date(dates: Column, number: Column, head: Column) -> Column:
     """Of the dates found the earliest of the year in the act's number; else the one in its head, or the earliest of that month; else the first, or unknown."""
     dates = F.filter(F.coalesce(dates, F.array().cast("array<string>")), lambda x: F.length(x) >= 4)
     yy = F.regexp_extract(F.coalesce(number, F.lit("")), r"[/\-]\s*(\d{2,4})\s*$", 1)
-    year = F.when(yy != "", F.when(yy.cast("int") < 100, yy.cast("int") + 2000).otherwise(yy.cast("int")).cast("string"))
+    year = F.when(yy != "", F.when(yy.try_cast("int") < 100, yy.try_cast("int") + 2000).otherwise(yy.try_cast("int")).cast("string"))
     same = F.array_min(F.filter(dates, lambda x: F.substring(x, 1, 4) == year))
     pattern = r"(?iu)(\d{1,2})\s*[ºo°]?\s+DE\s+([A-ZÁÉÍÓÚ]+)\s+DE\s+(\d{4})"
     first = F.array_join(F.slice(F.split(F.coalesce(head, F.lit("")), "\n"), 1, 12), "\n")
