@@ -119,3 +119,42 @@ def deduplicated(fragments: DataFrame) -> DataFrame:
     copies = rows.groupBy("__act", "doc").agg(F.min_by(F.struct(linked.alias("u"), sure.alias("c")), "i").alias("first"), F.count(F.lit(1)).alias("n"))
     best = copies.groupBy("__act").agg(F.max(F.struct("first.u", "first.c", "n", F.col("doc"))).alias("b")).select("__act", F.col("b.doc").alias("doc"))
     return rows.join(best, ["__act", "doc"], "left_semi").select(*fragments.columns)
+
+
+def insert_or_ignore(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """target and those rows whose key it lacks; of several new rows of a key the first by all columns."""
+    new = rows.select(*target.columns).join(target, key, "left_anti")
+    one = new.groupBy(key).agg(F.min(F.struct(*target.columns)).alias("__row")).select("__row.*")
+    return target.unionByName(one)
+
+
+def without_children(children: DataFrame, gone: DataFrame, parent: str) -> DataFrame:
+    """The children but those of parents that are gone."""
+    return children.join(gone.select(parent).distinct(), parent, "left_anti").select(*children.columns)
+
+
+def owned_update(target: DataFrame, changes: DataFrame, key: str, owner: str, column: str) -> DataFrame:
+    """target with the new values of `column` of those changes (key, owner, column) whose owner is the row's; others change nothing."""
+    c = changes.select(F.col(key).alias("__k"), F.col(owner).alias("__o"), F.col(column).alias("__v"))
+    j = target.join(c, (F.col(key) == F.col("__k")) & (F.col(owner) == F.col("__o")), "left")
+    return j.withColumn(column, F.when(F.col("__k").isNotNull(), F.col("__v")).otherwise(F.col(column))).select(*target.columns)
+
+
+def refreshed(index: DataFrame, metadata: DataFrame, key: str, title: str, columns: list[str]) -> DataFrame:
+    """index with `columns` of the authoritative metadata where it has them, and `drifted`: its title differs by more than white space, so the text that was
+    embedded is old. Rows without metadata stay as they are."""
+    m = metadata.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in {*columns, title}])
+    j = index.join(m, F.col(key) == F.col("__k"), "left")
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    new = lambda c: F.nullif(F.col(f"__{c}"), F.lit(""))
+    drifted = new(title).isNotNull() & (flat(F.col(title)) != flat(new(title)))
+    return j.select(*[F.coalesce(new(c), F.col(c)).alias(c) if c in columns else F.col(c) for c in index.columns], drifted.alias("drifted"))
+
+
+def reconciled(catalogue: DataFrame, found: dict[str, DataFrame], key: str, day: Column) -> DataFrame:
+    """The catalogue with a day in each column of `found` for those of its rows whose key is in that column's table; a day that is there stays."""
+    out = catalogue
+    for column, there in found.items():
+        k = there.select(F.col(key).alias("__k")).distinct()
+        out = out.join(k, F.col(key) == F.col("__k"), "left").withColumn(column, F.coalesce(F.col(column), F.when(F.col("__k").isNotNull(), day))).drop("__k")
+    return out

@@ -36,15 +36,6 @@ def flt12_noise_titles(spark, d):
     return S.lines(spark, d).where(T.noise(title)).select("doc_id", "ord")
 
 
-@query(A + "SELECT i, (i % 2 = 0)::INT + (i % 3 = 0)::INT + (i % 5 = 0)::INT + (url IS NULL)::INT + 5 >= 7 AS special FROM acts")
-def flt16_special_document(spark, d):
-    """At least seven of eleven basic fields are incomplete: null, empty or 'unknown'."""
-    i = F.col("i")
-    fields = [F.when(i % 2 != 0, F.col("code")), F.when(i % 3 == 0, F.lit(" ")).otherwise(F.col("number")), F.when(i % 5 == 0, F.lit("Unknown")).otherwise(F.col("title")), F.col("url"), *[F.lit(None).cast("string")] * 5, F.col("id_archivo"), F.col("confidence")]
-    lacks = lambda c: F.coalesce(F.lower(F.trim(c)), F.lit("")).isin("", "unknown").cast("int")
-    return S.acts(spark, d).select("i", (sum((lacks(c) for c in fields), F.lit(0)) >= 7).alias("special"))
-
-
 @query(r"SELECT doc_id, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) < 60 AS scan FROM documents")
 def flt17_scan(spark, d):
     """A text too short to be one: white space collapsed, under 60 characters."""
@@ -61,16 +52,6 @@ def str03_fold_six(spark, d):
     return S.acts(spark, d).select("i", F.translate(F.lower("title"), "áéíóúñ", "aeioun").alias("plain"))
 
 
-@query(A + "SELECT i, '## ' || CASE i % 3 WHEN 0 THEN 'Visto' WHEN 1 THEN 'Considerando' ELSE 'Parte resolutiva' END || chr(10) || chr(10) || 'texto' || chr(10) || '### Artículo 3' || chr(10) || chr(10) || 'Apruébase' AS body FROM acts")
-def str27_headings(spark, d):
-    """The parts of an act in capitals become headings."""
-    i = F.col("i")
-    body = F.concat(F.when(i % 3 == 0, "VISTO:").when(i % 3 == 1, "CONSIDERANDO:").otherwise("RESUELVE:"), F.lit(" texto\nARTÍCULO 3º.- Apruébase"))
-    for pattern, to in [(r"(?m)^VISTO\s*:?\s*", "## Visto\n\n"), (r"(?m)^CONSIDERANDO\s*:?\s*", "## Considerando\n\n"), (r"(?m)^(?:RESUELVE|DISPONE)\s*:?\s*", "## Parte resolutiva\n\n"), (r"(?m)^ART[ÍI]CULO\s+(\d+)\s*[º°]?\s*[.:]?-?\s*", "### Artículo $1\n\n")]:
-        body = F.regexp_replace(body, pattern, to)
-    return S.acts(spark, d).select("i", body.alias("body"))
-
-
 @query(A + "SELECT i, title AS repaired FROM acts")
 def str29_mojibake(spark, d):
     """UTF-8 that was read as Latin-1 is read again; texts without its marks stay."""
@@ -126,19 +107,6 @@ def arr02_sets(spark, d):
     return t.select("item_id", F.size(F.array_distinct("t")).alias("kinds"), F.array_contains("t", "the").alias("has"), F.size(F.array_intersect("t", F.array(*map(F.lit, ("the", "that", "with"))))).alias("shared"))
 
 
-@query(A + "SELECT i, CASE WHEN i % 3 = 2 THEN '' ELSE code END AS code, number, CASE WHEN i % 2 = 0 THEN 'vigente' ELSE '' END AS state FROM acts")
-def jsn03_portal_rows(spark, d):
-    """Nested objects of a portal as flat rows: the code under either of two keys, and empty texts for what lacks."""
-    i = F.col("i")
-    key = F.when(i % 3 == 0, F.lit('"tipo"')).when(i % 3 == 1, F.lit('"codigo_tipo_documento"')).otherwise(F.lit('"otro"'))
-    state = F.when(i % 2 == 0, F.lit('{"nombre":"vigente"}')).otherwise("null")
-    js = F.concat(F.lit('{"nro":{'), key, F.lit(':"'), "code", F.lit('"},"numero_asignado":" '), "number", F.lit('  ","estado":'), state, F.lit("}"))
-    got = F.from_json(js, "struct<nro: struct<tipo: string, codigo_tipo_documento: string>, numero_asignado: string, estado: struct<nombre: string>>")
-    a = S.acts(spark, d).select("i", got.alias("o"))
-    empty = F.lit("")
-    return a.select("i", F.coalesce("o.nro.tipo", "o.nro.codigo_tipo_documento", empty).alias("code"), F.trim(F.regexp_replace(F.coalesce("o.numero_asignado", empty), r"\s+", " ")).alias("number"), F.coalesce("o.estado.nombre", empty).alias("state"))
-
-
 # --- ordered rows and summaries
 
 
@@ -162,13 +130,6 @@ def join21_cited_by(spark, d):
     return first.withColumn("place", F.row_number().over(order)).where("place <= 10").select("k", "number", "citing", F.col("f.date").alias("date"), "place")
 
 
-@query("SELECT w AS warning, count(*) AS n FROM (SELECT unnest(['a ' || event_type, 'b ' || repeat(event_type, 20)]) AS x FROM events), (SELECT 1), LATERAL (SELECT substring(x, 1, 70) AS w) GROUP BY w ORDER BY n DESC, w LIMIT 15")
-def agg23_warnings(spark, d):
-    w = F.explode(F.array(F.concat(F.lit("a "), "event_type"), F.concat(F.lit("b "), F.repeat("event_type", F.lit(20)))))
-    e = S.read(spark, d, "events").select(w.alias("w")).groupBy(F.substring("w", 1, 70).alias("warning")).agg(F.count(F.lit(1)).alias("n"))
-    return e.orderBy(F.desc("n"), "warning").limit(15)
-
-
 @query("WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS kind FROM events GROUP BY user_id) SELECT kind, count(*) AS n, count(*) = 1 AS single FROM l GROUP BY kind")
 def agg25_error_log(spark, d):
     """Errors by kind, the last entry of each document counts."""

@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import relational as R
 from ..operators import retrieval as I
 from ..sources import tables as S
-from . import citations, indexes, lifecycle, oracles, phrases, recall, titles, transfer, upkeep
+from . import citations, indexes, lifecycle, oracles, phrases, recall, records, titles, transfer, upkeep
 
 Query = Callable[[SparkSession, str], DataFrame]
 _all: dict[str, Query] = {}
@@ -434,8 +434,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return _all | lifecycle.queries() | upkeep.queries() | recall.queries() | transfer.queries() | phrases.queries() | citations.queries() | indexes.queries() | titles.queries()
+    return _all | lifecycle.queries() | upkeep.queries() | recall.queries() | transfer.queries() | phrases.queries() | citations.queries() | indexes.queries() | titles.queries() | records.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oracles.oracle_sql().items() if k in _all} | lifecycle.oracle_sql() | upkeep.oracle_sql() | recall.oracle_sql() | transfer.oracle_sql() | phrases.oracle_sql() | citations.oracle_sql() | indexes.oracle_sql() | titles.oracle_sql()
+    return {k: v for k, v in oracles.oracle_sql().items() if k in _all} | lifecycle.oracle_sql() | upkeep.oracle_sql() | recall.oracle_sql() | transfer.oracle_sql() | phrases.oracle_sql() | citations.oracle_sql() | indexes.oracle_sql() | titles.oracle_sql() | records.oracle_sql()

@@ -60,12 +60,6 @@ def flt19_title_search(spark, d):
     return S.acts(spark, d).where(F.contains(F.lower("title"), F.lit("the"))).select("i")
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE role <> 'system' AND conv_id % 4 <> 0")
-def flt20_public_folders(spark, d):
-    c = S.read(spark, d, "conversations").withColumn("public", F.col("role") != "system").withColumn("deleted", F.col("conv_id") % 4 == 0)
-    return c.where("public and not deleted").select("conv_id", "turn")
-
-
 # --- scalar functions
 
 
@@ -128,14 +122,6 @@ def ret15_low_confidence(spark, d):
 # --- data changes
 
 
-@query(C + "SELECT i, CASE WHEN i % 10 = 1 THEN DATE '2024-05-01' WHEN downloaded THEN DATE '2025-01-01' END AS downloaded_on FROM catalog")
-def dml02_reconcile(spark, d):
-    """Stamps are set once: an act that has one keeps it."""
-    c = S.catalog(spark, d)
-    old = F.when(c.i % 10 == 1, F.lit("2024-05-01").cast("date"))
-    return c.select("i", F.coalesce(old, F.when(c.downloaded, F.lit("2025-01-01").cast("date"))).alias("downloaded_on"))
-
-
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'known' ELSE sha256(text) END AS digest FROM documents")
 def dml03_backfill(spark, d):
     old = F.when(F.col("doc_id") % 3 == 0, "known").when(F.col("doc_id") % 3 == 1, "")
@@ -147,16 +133,6 @@ def dml04_latest_setting(spark, d):
     return S.read(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("value"))
 
 
-@query(A + "SELECT i, number FROM acts WHERE i % 13 <> 0 AND code NOT IN (SELECT code FROM acts WHERE i = 3)")
-def dml05_ignore_and_cascade(spark, d):
-    """Rows whose key is there are not inserted again; rows of a deleted parent go."""
-    a = S.acts(spark, d).select("i", "number", "code")
-    there = a.where("i % 2 = 0")
-    whole = there.unionByName(a.join(there, "i", "left_anti"))
-    gone = a.where("i = 3").select("code")
-    return whole.join(gone, "code", "left_anti").where("i % 13 <> 0").select("i", "number")
-
-
 @query("SELECT doc_id, CASE WHEN v.vec_id IS NULL THEN 'no vector' WHEN d.doc_id IS NULL THEN 'no text' END AS fault FROM documents d FULL JOIN embeddings v ON doc_id = vec_id WHERE v.vec_id IS NULL OR d.doc_id IS NULL")
 def dml09_alignment(spark, d):
     v = S.read(spark, d, "embeddings").select("vec_id")
@@ -164,14 +140,6 @@ def dml09_alignment(spark, d):
     return j.select("doc_id", F.when(F.col("vec_id").isNull(), "no vector").when(F.col("doc_id").isNull(), "no text").alias("fault")).where("fault is not null")
 
 
-@query(A + r"SELECT i, i % 7 = 0 AND regexp_replace(title, '\s+', ' ', 'g') <> '' AS reembed FROM acts")
-def dml07_drift(spark, d):
-    """Acts whose title changed by more than white space are embedded again."""
-    flat = lambda c: F.regexp_replace(c, r"\s+", " ")
-    new = F.when(F.col("i") % 7 == 0, F.regexp_replace("title", "(?s)^.*$", "")).otherwise(F.regexp_replace("title", " ", "  "))
-    return S.acts(spark, d).select("i", (flat("title") != flat(new)).alias("reembed"))
-
-
 # --- streams
 
 
