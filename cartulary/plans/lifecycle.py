@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import relational as R
 from ..operators import retrieval as I
 from ..sources import tables as S
 from .oracles import ACTS, CATALOG, LINES, MESSAGES, METRICS, fold, kind
