@@ -79,7 +79,7 @@ def best_first(tree: KDTree, ids: np.ndarray, q: np.ndarray, bound: np.ndarray,
             score = tree.points[start:stop] @ q
             near = np.flatnonzero(score >= kth).tolist()
         else:
-            score = [sum(map(int.__mul__, p, whole)) for p in exact[start:stop]]
+            score = [max(LEAST, min(MOST, sum(map(int.__mul__, p, whole)))) for p in exact[start:stop]]
             near = [i for i, v in enumerate(score) if v >= kth]
         for i in near:
             item = (float(score[i]) if exact is None else score[i], -int(ids[start + i]))
@@ -99,7 +99,7 @@ def search(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
 
     Vectors that are null or hold null or non-finite components take no part, nor do rows without an id; zero and empty vectors do. Rows that repeat an
     id count once, with the greatest vector; shorter vectors are padded with zeros. Very large components are exact as well: where a score could pass
-    2**53 the boxes are bounded with a margin for rounding and the points are scored with whole numbers; a score beyond a long is given as
+    2**53 the boxes are bounded with a margin for rounding and the points are scored with whole numbers; a score beyond a long counts as
     the nearest long. Ties go to the smaller id. Extra columns, also of the result's names, are ignored; an empty table gives an empty result.
     """
     index, queries, shards, blocks, dim = prepared(table, id_col, vector, every, True, shard_rows, block_rows)
@@ -109,17 +109,18 @@ def search(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
         if len(ids) and len(qids):
             x, q = np.floor(scale * stack(rows["v"], dim)), np.floor(scale * stack(asked["v"], dim))
             tree = KDTree(x, leaf)
-            ids, bounds = ids[tree.order], tree.bounds(q)
+            ids = ids[tree.order]
             # plain doubles are exact where no sum of products can pass 2**53
             with np.errstate(over="ignore", invalid="ignore"):
                 sure = np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(1, dim) < 2.0**53
             exact = None if sure else [[int(v) for v in row] for row in tree.points.tolist()]
+            bounds = tree.bounds(q) if sure else None
             for j, kth in enumerate(asked["kth"].to_pylist()):
                 if sure:
                     best = best_first(tree, ids, q[j], bounds[j], int(qids[j]), k, -np.inf if kth is None else kth)
                 else:
                     best = best_first(tree, ids, q[j], loose_bounds(tree, q[j]), int(qids[j]), k, -np.inf if kth is None else kth, exact)
-                out += [(int(qids[j]), i, max(LEAST, min(MOST, int(s)))) for s, i in best]
+                out += [(int(qids[j]), i, int(s)) for s, i in best]
         cols = list(zip(*out)) or [[], [], []]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols)})
 
