@@ -40,7 +40,7 @@ def fold(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Comparable tokens; a token with / or : is followed by its parts. All tokens of a text are folded at once; parts are looked for only where there are any."""
     found = F.array_join(F.regexp_extract_all(text, F.lit(FAST_TOKENS), F.lit(0)), MARK)
-    joined = F.regexp_replace(fold(found), r"[\s&&[^\x01]]+", "")
+    joined = F.translate(F.lower(found), ACCENTED + " \t\n\x0b\f\r", PLAIN)  # white space inside a token goes
     ok = lambda t: (F.length(t) >= 2) & ~t.isin(STOP)
     plain = F.filter(F.split(joined, MARK), ok)
     parts = lambda t: F.when(t.rlike("[:/]"), F.concat(F.array(t), F.filter(F.split(t, "[:/]"), ok))).otherwise(F.array(t))

@@ -73,7 +73,7 @@ def inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def bucket_of(name: Column, buckets: int = BUCKETS) -> Column:
-    """The folder of a name, two hexadecimal digits: a polynomial hash of its UTF-8 bytes with base 131 in 32 bits, modulo the number of buckets."""
+    """The folder of a name, two hexadecimal digits: a polynomial hash of its UTF-8 bytes with base 131 in 32 bits (fixed values), modulo the number of buckets."""
     pairs = F.regexp_extract_all(F.hex(name.cast("binary")), F.lit(".."), F.lit(0))
     h = F.aggregate(pairs, F.lit(0).cast("long"), lambda s, x: (s * 131 + F.conv(x, 16, 10).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF)))
     return F.lpad(F.lower(F.hex(F.pmod(h, F.lit(buckets)))), 2, "0")
