@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,9 @@ FAST_TOKENS = "(?iu)" + "|".join(
 )
 # between tokens that are folded in one go; no token holds it
 MARK = "\x01"
+# fixed values: white space of a pattern, and the spaces that trimming takes (Unicode's Zs)
+WHITE = r"[\t\n\f\r ]"
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 # fixed value: headings without content
 NOISE = r"(?i)^(universidad nacional|rep[uú]blica argentina|p[aá]gina\s*\d|fecha\s*:|lugar de entrega\s*:|expediente\s*n?[°º]?\s*:|ap proveedor|\d+\s*/\s*\d+\s*$)"
 
@@ -37,6 +42,24 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), ACCENTED, PLAIN)
 
 
+@cache
+def _capitals() -> tuple[str, str]:
+    """Letters and their capitals, one for one; letters whose capital takes more than one letter have none, but ß has ẞ."""
+    one = lambda c: "ẞ" if c == "ß" else next((u for u in (c.upper(), c.title()) if len(u) == 1), c)
+    pairs = [(c, one(c)) for c in map(chr, range(0x110000)) if not c.isascii() or c.islower()]
+    low, up = zip(*[(c, u) for c, u in pairs if c != u], strict=True)
+    return "".join(low), "".join(up)
+
+
+def upper(text: Column) -> Column:
+    """Capitals letter for letter, as DuckDB has them. Spark's own upper writes ß as SS, which makes one text of two and sorts it elsewhere."""
+    return F.translate(text, *_capitals())
+
+
+def trim(text: Column) -> Column:
+    return F.btrim(text, F.lit(SPACES))
+
+
 def tokens(text: Column) -> Column:
     """Comparable tokens; a token with / or : is followed by its parts. All tokens of a text are folded at once; parts are looked for only where there are any."""
     found = F.array_join(F.regexp_extract_all(text, F.lit(FAST_TOKENS), F.lit(0)), MARK)

@@ -128,8 +128,10 @@ def join03_first_key(spark, d):
 
 @query
 def join04_unique_candidate(spark, d):
-    a = S.acts(spark, d).withColumn("t", F.upper(F.trim(F.regexp_replace("title", r"\s+", " "))))
-    return a.select("i", "section", "t").join(R.unique_candidates(a, ["section", "t"], "id_archivo"), ["section", "t"]).select("i", "id_archivo")
+    """An act takes the id of the one act with its section and title, whatever their letters' case and white space; a missing section or title is a value like any other."""
+    t = T.upper(T.trim(F.regexp_replace("title", T.WHITE + "+", " ")))
+    a = S.acts(spark, d).select("i", "id_archivo", F.struct("section", t).alias("key"))  # in a struct null equals null
+    return a.select("i", "key").join(R.unique_candidates(a, ["key"], "id_archivo"), "key").select("i", "id_archivo")
 
 
 @query

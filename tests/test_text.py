@@ -1,5 +1,8 @@
 """Text functions on hand-written cases."""
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from cartulary.functions import text as T
 from pyspark.sql import functions as F
@@ -61,3 +64,12 @@ def test_strict_mentions(spark):
     df = spark.createDataFrame(cases, "t string, p array<string>")
     got = df.select("t", "p", T.mentions_strict(F.col("t"), F.col("p")).alias("m")).collect()
     assert all(r.m == brute(r.t, r.p) for r in got)
+
+
+def test_capitals_and_spaces_of_every_character(spark, tmp_path):
+    path = f"{tmp_path}/letters.parquet"
+    pq.write_table(pa.table({"k": (k := [k for k in range(1, 0x110000) if not 0xD800 <= k < 0xE000]), "c": [chr(x) for x in k]}), path)
+    got = spark.read.parquet(path).select("k", T.upper(F.col("c")), T.trim(F.col("c")), F.regexp_replace("c", T.WHITE, "_"))
+    want = duckdb.sql(f"SELECT k, upper(c), trim(c), regexp_replace(c, '\\s', '_', 'g') FROM '{path}'").fetchall()
+    assert not {tuple(r) for r in got.collect()} ^ set(want)
+    assert [run(spark, T.upper(F.col("x")), x=x) for x in ("straße", "ŉ ﬁ", "ᾳ", None)] == ["STRAẞE", "ŉ ﬁ", "ᾼ", None]

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 from cartulary.operators import retrieval
 from cartulary.plans import registry
 
@@ -65,3 +66,14 @@ def test_cited_by_reads_texts(spark, tmp_path):
     ranked = [r.i for r in score.orderBy("rank").collect() if r.i not in (0, 5)]
     for k in (1, 151):
         assert got[k] == [name(i) for i in ranked if name(i) != name(k)][:10]
+
+
+def test_unique_candidates_of_odd_titles(spark, tmp_path):
+    texts = {0: "Uß.", 1: "Uss.", 2: "ab\u00a0", 3: "AB", 4: "c\x0bd", 5: "c d", 6: None, 7: None, 8: "", 9: " \nx", 10: "e \t f\nx", 11: "E F", 12: "ﬁn", 13: "fin", 14: "éa", 15: "ÉA"}
+    rows = [(i, t, "de", "a") for i, t in texts.items()] + [(20, "Uß.", None, "a"), (21, None, None, "a"), (22, "g", None, "a"), (23, "G", None, "a"), (24, None, "fr", "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.i, r.id_archivo) for r in registry.queries()["join04_unique_candidate"](spark, str(tmp_path)).collect())
+    assert got == [(i, str(i)) for i in (0, 1, 4, 5, 12, 13, 20, 21, 24)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(registry.oracle_sql()["join04_unique_candidate"]).fetchall())
