@@ -256,7 +256,9 @@ def win16_leftover(spark, d):
 
 @query(A + "SELECT i, row_number() OVER (PARTITION BY code ORDER BY act_date, upper(title), i)::INT AS n FROM acts")
 def win17_renumber(spark, d):
-    return S.acts(spark, d).select("i", F.row_number().over(Window.partitionBy("code").orderBy("act_date", F.upper("title"), "i")).alias("n"))
+    """The sequence of acts in a code by date, title in capitals and id, missing ones last."""
+    order = [c.asc_nulls_last() for c in (F.col("act_date"), T.upper(F.col("title")), F.col("i"))]
+    return S.acts(spark, d).select("i", F.row_number().over(Window.partitionBy("code").orderBy(*order)).alias("n"))
 
 
 @query(M + "SELECT id, user_id FROM messages ORDER BY id DESC LIMIT 20")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -24,7 +26,7 @@ def acts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, i = read(spark, sf_dir, "documents"), F.col("doc_id")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (i % 700).cast("int"))
     return d.select(
-        i.alias("i"), i.cast("string").alias("id_archivo"), F.concat(F.lit("DISP-"), F.upper("source")).alias("code"), F.concat((i % 50 + 1).cast("string"), F.lit("/"), (2024 + i % 3).cast("string")).alias("number"),
+        i.alias("i"), i.cast("string").alias("id_archivo"), F.concat(F.lit("DISP-"), T.upper(F.col("source"))).alias("code"), F.concat((i % 50 + 1).cast("string"), F.lit("/"), (2024 + i % 3).cast("string")).alias("number"),
         (2024 + i % 3).alias("year"), day.alias("act_date"), F.date_format(day, "dd/MM/yyyy").alias("fecha_acto"), F.col("lang").alias("section"), F.when(i % 7 != 0, F.concat(F.lit("https://portal.example/"), i.cast("string"))).alias("url"),
         F.element_at(F.array(F.lit("alta"), F.lit("media"), F.lit("baja")), (i % 3 + 1).cast("int")).alias("confidence"), F.substring_index("text", "\n", 1).alias("title"), "text",
     )

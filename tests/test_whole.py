@@ -77,3 +77,16 @@ def test_unique_candidates_of_odd_titles(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert got == sorted(con.execute(registry.oracle_sql()["join04_unique_candidate"]).fetchall())
+
+
+def test_numbering_of_odd_titles(spark, tmp_path):
+    # ids 700 apart: one day
+    texts = {0: "Erß b", 700: "Ert a", 1400: "erss", 2100: None, 2800: "", 3500: "ﬁ", 4200: "fz", 4900: "É", 5600: "ert A", 1: "a"}
+    rows = [(i, t, "de", "ß") for i, t in texts.items()] + [(6300, "a", "de", "ss"), (7000, "b", "de", None), (7700, None, "de", None), (None, "a", "de", "ß")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.i: r.n for r in registry.queries()["win17_renumber"](spark, str(tmp_path)).collect()}
+    order = [2800, 1400, 700, 5600, 0, 4200, 4900, 3500, 2100, 1, None]
+    assert got == {i: n for n, i in enumerate(order, 1)} | {6300: 1, 7000: 1, 7700: 2}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(con.execute(registry.oracle_sql()["win17_renumber"]).fetchall())
